@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewalk.sources.store import cut
+
 BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_KEYS = 1024
 
@@ -24,13 +26,9 @@ def hot_keys(many: DataFrame, on: list[str], limit: int = HOT_KEYS) -> DataFrame
     The counts are combined before the shuffle, so a hot key costs one row per
     task here.
     """
+    total = many.count()
     counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("n_total"))
-    return (
-        counts.join(F.broadcast(total))
-        .where(F.col("n_rows") * limit > F.col("n_total"))
-        .select(*on, "n_rows")
-    )
+    return counts.where(F.col("n_rows") * limit > F.lit(total))
 
 
 def lookup_join(
@@ -40,21 +38,28 @@ def lookup_join(
     how: str = "inner",
     small: bool | None = None,
     salts: int = 64,
+    limit: int = HOT_KEYS,
 ) -> DataFrame:
     """Join `many` to `one`, which holds each key once.
 
     If `one` fits (`small`, or measured when not given) it is broadcast and
-    `many` does not move.  Otherwise both are shuffled, and the rows of hot keys
-    are spread over `salts` partitions with the matching row of `one` repeated
-    there; at most HOT_KEYS keys can be hot, so at most HOT_KEYS x `salts` rows
-    are added.
+    `many` does not move.  Otherwise both are shuffled.  If `many` has hot keys,
+    their rows are spread over `salts` partitions, with the matching row of
+    `one` repeated there: fewer than `limit` keys can be hot, so fewer than
+    `limit` x `salts` rows are added.
+
+    Finding the hot keys reads `many` before the join does, so a caller that
+    computed it at some cost should hand over a written table.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small is None:
         small = fits_broadcast(one)
     if small:
         return many.join(F.broadcast(one), on, how)
-    hot = F.broadcast(hot_keys(many, on).select(*on, F.lit(True).alias("_hot")))
+    found = cut(hot_keys(many, on, limit).select(*on, F.lit(True).alias("_hot")))
+    if found.isEmpty():
+        return many.join(one, on, how)
+    hot = F.broadcast(found)
     salt = F.when(
         F.col("_hot"),
         F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int"),

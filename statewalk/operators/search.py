@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from statewalk.functions.successors import PackedKeys, TextKeys
 from statewalk.operators.joins import lookup_join
-from statewalk.sources.store import cut
+from statewalk.sources.store import cut, write_bucketed
 
 SMALL_LEVEL = 100_000
 EDGES_PER_SALT = 1_000_000
@@ -170,25 +170,28 @@ def bfs_states(
 class Adjacency:
     """Distinct edges laid out once for all levels of a search.
 
-    Rows are partitioned by (src, salt) and written out, so a level shuffles its
-    frontier, never the edges.  A source with many edges gets one salt per
+    Rows are written in buckets of (src, salt), so a level shuffles its frontier,
+    never the edges.  A source with many edges gets one salt per
     EDGES_PER_SALT of them, so no task holds a hub; the frontier row of a hub is
     repeated once per salt.  Hubs are fewer than edges / EDGES_PER_SALT.
     """
 
     def __init__(self, edges: DataFrame, directed: bool, per_salt: int = EDGES_PER_SALT):
         spark = edges.sparkSession
-        edges = edges.select("src", "dst")
+        pairs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+        edges = pairs
         if not directed:
-            edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        edges = cut(edges.where("src <> dst").distinct())
-        self.hubs = cut(
+            # a pair given both ways comes out twice here, which changes no level
+            edges = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        self.hubs = (
             edges.groupBy("src")
             .agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") > per_salt)
             .select("src", F.ceil(F.col("n") / per_salt).cast("int").alias("n_salts"))
         )
         self.n_hubs = self.hubs.count()
+        if self.n_hubs:
+            self.hubs = cut(self.hubs)
         salt = F.lit(0)
         if self.n_hubs:
             edges = lookup_join(edges, self.hubs, "src", "left", small=self.n_hubs <= SMALL_LEVEL)
@@ -196,11 +199,8 @@ class Adjacency:
                 F.col("n_salts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("n_salts")).cast("int")
             ).otherwise(0)
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.edges = cut(
-            edges.select("src", salt.alias("salt"), "dst")
-            .repartition(parts, "src", "salt")
-            .sortWithinPartitions("src", "salt")
-        )
+        laid_out = edges.select("src", salt.alias("salt"), "dst")
+        self.edges = write_bucketed(laid_out, ["src", "salt"], parts)
 
     def neighbours(self, frontier: DataFrame, size: int) -> DataFrame:
         """(node, parent) for every edge that leaves the frontier (node)."""

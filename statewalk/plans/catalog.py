@@ -33,7 +33,7 @@ from statewalk.operators.transitions import (
 )
 from statewalk.plans.stages import stage_table
 from statewalk.sources import tables as t
-from statewalk.sources.store import load_paths, save_paths, scratch_path
+from statewalk.sources.store import cut, load_paths, save_paths, scratch_path
 
 MAX_DEPTH = 12
 FULL_LAYOUT = [("corner", "pos"), ("edge", "pos"), ("corner", "ori"), ("edge", "ori")]
@@ -148,7 +148,8 @@ def supplier_powers(spark, sf_dir):
 def apply_transitions(spark, sf_dir):
     """Each user's final state turned by every event of that user."""
     events = t.event_tokens(spark, sf_dir).select("user_id", "event_id", F.col("token").alias("move"))
-    states = lookup_join(events, _user_states(spark, sf_dir), "user_id")
+    # written out: its size is measured before the join, and the join reads it
+    states = lookup_join(events, cut(_user_states(spark, sf_dir)), "user_id")
     moves = transition_table(spark).select("move", *MOVE_FIELDS)
     turned = turn_states(states, moves, "move", small=True)
     return turned.select("event_id", "user_id", "move", *_joined(STATE_FIELDS))
