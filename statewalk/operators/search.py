@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from statewalk.functions.successors import PackedKeys, TextKeys
 from statewalk.operators.joins import lookup_join
-from statewalk.sources.store import cut, write_bucketed
+from statewalk.sources.store import checkpointed, cut, write_bucketed
 
 SMALL_LEVEL = 100_000
 EDGES_PER_SALT = 1_000_000
@@ -142,7 +142,7 @@ def bfs_states(
     code = PathCode(tokens, max_depth)
     moves = keys.moves(code.tokens)
     next_state = next_state or keys.successor
-    level = cut(seeds.select("state").distinct().select("state", code.start().alias("path")))
+    level = checkpointed(seeds.select("state").distinct().select("state", code.start().alias("path")))
     levels, sizes = [level], [level.count()]
     while len(levels) <= max_depth and sizes[-1]:
         back = 2 if inverse_closed else len(levels)
@@ -152,7 +152,7 @@ def bfs_states(
             "state",
             F.min("path").alias("path"),
         )
-        level = cut(found)
+        level = checkpointed(found)
         levels.append(level)
         sizes.append(level.count())
     return union_all(
