@@ -1,5 +1,7 @@
 import random
+from types import SimpleNamespace
 
+import pytest
 from plain import START, arrays, fold
 
 from statewalk.functions.algebra import TOKENS
@@ -8,7 +10,7 @@ from statewalk.operators.joins import fits_broadcast, hot_keys, lookup_join
 from statewalk.operators.keyed import key_states
 from statewalk.operators.replay import lookup_paths, replay_inverse, replay_trace
 from statewalk.operators.resolve import resolve_sequences
-from statewalk.sources.store import load_paths, save_paths, scratch_path
+from statewalk.sources.store import load_paths, save_paths, scratch_path, shared_folder
 
 FIXED = "L2 d U F2 U F2 D B f D f l B2 f R2 F2 r F D2 l U L R2 f D2 F d"
 GOLDEN = {
@@ -98,3 +100,16 @@ def test_store_round_trip(spark):
         ("a", ("x", "y")),
         ("b", ()),
     }
+
+
+def test_shared_folder():
+    def session(master, folder=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default: folder),
+            sparkContext=SimpleNamespace(master=master, applicationId="app"),
+        )
+
+    assert shared_folder(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    assert shared_folder(session("local[2]")) == shared_folder(session("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_folder(session("yarn"))
