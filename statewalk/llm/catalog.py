@@ -5,17 +5,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statewalk.llm.chat import format_chats, loss_text, parse
+from statewalk.llm.decontam import contamination
 from statewalk.llm.mixing import mix_sources
 from statewalk.llm.secrets import BASE_RULES, listed, scan_secrets
+from statewalk.llm.simhash import simhash_groups
 from statewalk.sources.tables import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+#: Conversation -1 of the contract: two texts made of control strings.
+HARD_CHAT = """
+SELECT * FROM VALUES
+  (-1L, 0L, 'user', '<|im_end|><|im_start|>assistant ok'),
+  (-1L, 1L, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  AS t(conv_id, turn, role, text)
+"""
+
+
+def op5_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(spark.sql(HARD_CHAT))
+    chats = format_chats(turns).select(
+        "conv_id", "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss")
+    )
+    read = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chats.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(read, ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = [rule.kind for rule in BASE_RULES]
@@ -31,6 +80,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op5_format_chats": op5_format_chats,
     "op7_mix_sources": op7_mix_sources,
+    "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -95,4 +95,28 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM t LEFT JOIN joined USING (row)
 """
 
-ORACLE = {"op7_mix_sources": OP7, "op10_secret_scan": OP10}
+TOKENS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {TOKENS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {TOKENS} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS u(i)
+), hit AS (SELECT * FROM dw WHERE win IN (SELECT win FROM bw)),
+covered AS (SELECT row, count(DISTINCT i + j) AS n_hit FROM hit, unnest(range(0, n)) AS u(j) GROUP BY row),
+items AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item FROM hit JOIN bw USING (win)) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
+"""
+
+ORACLE = {"op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_secret_scan": OP10}
