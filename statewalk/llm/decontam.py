@@ -24,12 +24,17 @@ def words_of(text: str) -> Column:
     return F.regexp_extract_all(lower_ascii(whole(text)), F.lit(WORDS), F.lit(0))
 
 
+def run_of(array: str, at: Column, n: int) -> list[Column]:
+    """`n` successive entries; `slice` within a lambda would copy the whole array each time."""
+    return [F.get(array, at + j) for j in range(n)]
+
+
 def gram_hashes(words: str, k: int) -> Column:
     """Hash of every k successive words of the column `words`; empty if there are fewer."""
     last = F.size(words) - k
     grams = F.transform(
         F.sequence(F.lit(0), last),
-        lambda i: F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)]),
+        lambda i: F.xxhash64(F.lit(k), *run_of(words, i, k)),
     )
     return F.when(last >= 0, grams).otherwise(F.array().cast(NOTHING))
 
@@ -37,7 +42,7 @@ def gram_hashes(words: str, k: int) -> Column:
 def least_in_windows(hashes: str, window: int) -> Column:
     """The least hash of each `window` successive ones."""
     last = F.size(hashes) - window
-    least = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_min(F.slice(hashes, i + 1, window)))
+    least = F.transform(F.sequence(F.lit(0), last), lambda i: F.least(*run_of(hashes, i, window)))
     return F.when(last >= 0, least).otherwise(F.array().cast(NOTHING))
 
 
@@ -58,9 +63,10 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     """(item, words): every window of every item; a shorter item is one window."""
     last = F.size("words") - size
     windows = F.when(
-        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i + 1, size))
+        last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array(*run_of("words", i, size)))
     ).when(F.size("words") > 0, F.array("words"))
-    return items.select("item", F.explode(windows).alias("words")).distinct()
+    windows = items.select("item", F.explode_outer(windows).alias("words"))
+    return windows.where("words is not null").distinct()
 
 
 def document_hits(
@@ -90,7 +96,8 @@ def document_hits(
 
     keyed = docs.select(row_key(id, text).alias("key"), F.col(text).alias("text"))
     found = with_fingerprints(keyed.select("key", words_of("text").alias("words")), size, k, short)
-    exploded = found.select("key", F.explode("fps").alias("fp"))
+    # the outer forms keep Spark from testing for empty arrays below, where it would compute them again
+    exploded = found.select("key", F.explode_outer("fps").alias("fp"))
     shared = exploded.join(F.broadcast(known) if small else known, "fp", "left_semi")
     shared = cut(shared.groupBy("key").agg(F.collect_set("fp").alias("shared")))
 
@@ -114,15 +121,19 @@ def document_hits(
                 lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("n")),
             ),
         )
+
+    def window_text(start: Column, n: Column) -> Column:
+        return F.concat_ws(" ", *[F.when(n > j, word) for j, word in enumerate(run_of("words", start, size))])
+
     texts = F.transform(
         starts,
         lambda s: F.struct(
             s["start"].alias("start"),
             s["n"].alias("n_words"),
-            F.array_join(F.slice("words", s["start"] + 1, s["n"]), " ").alias("window"),
+            window_text(s["start"], s["n"]).alias("window"),
         ),
     )
-    spans = near.select("key", F.inline(texts)).distinct()
+    spans = near.select("key", F.inline_outer(texts)).where("window is not null").distinct()
     known_texts = distinct.select("window")
     hits = cut(spans.join(F.broadcast(known_texts) if fits_broadcast(known_texts) else known_texts, "window", "left_semi"))
     return hits, windows.select("window", "item").distinct()
