@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.decontam import contamination
 from statewalk.llm.mixing import mix_sources
+from statewalk.llm.quality import classify_quality, fit_quality
 from statewalk.llm.secrets import BASE_RULES, listed, scan_secrets
 from statewalk.llm.simhash import simhash_groups
 from statewalk.sources.tables import table
 
 
+def held_out(id: str):
+    """Ids whose labels are never learned from."""
+    return F.crc32(F.col(id).cast("string")) % 5 == 0
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    forest = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    return classify_quality(docs, forest).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -80,6 +94,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
     "op5_format_chats": op5_format_chats,
     "op7_mix_sources": op7_mix_sources,

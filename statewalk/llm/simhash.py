@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from statewalk.llm.common import whole
 from statewalk.llm.components import component_roots
-from statewalk.operators.joins import lookup_join
+from statewalk.operators.joins import fits_broadcast, lookup_join
 from statewalk.sources.store import cut
 
 BITS = 64
@@ -162,12 +162,16 @@ def simhash_groups(
 def first_of_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one with the least id.
 
-    Repeated ids are reduced to one row, and a group without any id keeps one
-    row, too.  All columns of `docs` stay.
+    Of rows that repeat an id one stays, and a group without any id keeps one
+    row of each fingerprint.  All columns of `docs` stay.
     """
-    groups = simhash_groups(docs, id=id, text=text, **options)
-    kept = groups.where(F.col(id) == F.col("component")).select(id).distinct()
-    chosen = docs.join(kept, id, "left_semi").dropDuplicates([id])
+    groups = cut(simhash_groups(docs, id=id, text=text, **options))
+    gone = groups.where(F.col(id) != F.col("component")).select(id).distinct()
+    named = docs.where(F.col(id).isNotNull())
+    chosen = named.join(F.broadcast(gone) if fits_broadcast(gone) else gone, id, "left_anti")
+    firsts = groups.where(F.col(id) == F.col("component"))
+    if not firsts.groupBy(id).count().where("count > 1").isEmpty():
+        chosen = chosen.dropDuplicates([id])
     nameless = groups.where(F.col(id).isNull() & F.col("component").isNull()).select("fp").distinct()
     if nameless.isEmpty():
         return chosen
