@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.decontam import contamination
+from statewalk.llm.html_text import extract_main_text, fit_extractor
 from statewalk.llm.mixing import mix_sources
 from statewalk.llm.quality import classify_quality, fit_quality
 from statewalk.llm.secrets import BASE_RULES, listed, scan_secrets
 from statewalk.llm.simhash import simhash_groups
+from statewalk.llm.warc import read_index, write_archives
+from statewalk.sources.store import scratch_path
 from statewalk.sources.tables import table
 
 
@@ -39,6 +42,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = extract_main_text(pages, fit_extractor(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archives = scratch_path(spark, "warc")
+    write_archives(pages, archives)
+    index = read_index(spark, archives, pages.schema["page_id"].dataType)
+    return index.select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 #: Conversation -1 of the contract: two texts made of control strings.
 HARD_CHAT = """
 SELECT * FROM VALUES
@@ -96,6 +115,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
+    "op3_main_text": op3_main_text,
+    "op4_warc": op4_warc,
     "op5_format_chats": op5_format_chats,
     "op7_mix_sources": op7_mix_sources,
     "op9_simhash": op9_simhash,

@@ -119,4 +119,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN covered USING (row) LEFT JOIN items USING (row)
 """
 
-ORACLE = {"op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_secret_scan": OP10}
+#: Base32 of a SHA-1: five hex digits are twenty bits, four digits of base 32.
+OP4 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         sha1(coalesce(html, '')) AS hex
+  FROM pages
+), q AS (
+  SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY payload) AS first,
+         array_to_string([
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+             1 + ((('0x' || hex[5 * (i // 4) + 1:5 * (i // 4) + 5])::BIGINT >> (5 * (3 - i % 4))) & 31)]
+           FOR i IN range(0, 32)], '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+ORACLE = {"op4_warc": OP4, "op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_secret_scan": OP10}
