@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.decontam import contamination
+from statewalk.llm.embeddings import embedding_groups
 from statewalk.llm.html_text import extract_main_text, fit_extractor
 from statewalk.llm.mixing import mix_sources
 from statewalk.llm.quality import classify_quality, fit_quality
@@ -90,6 +91,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -119,6 +126,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_format_chats": op5_format_chats,
     "op7_mix_sources": op7_mix_sources,
+    "op8_embedding_groups": op8_embedding_groups,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
 }
