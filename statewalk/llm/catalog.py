@@ -11,6 +11,7 @@ from statewalk.llm.embeddings import embedding_groups
 from statewalk.llm.html_text import extract_main_text, fit_extractor
 from statewalk.llm.mixing import mix_sources
 from statewalk.llm.quality import classify_quality, fit_quality
+from statewalk.llm.runlength import without_repeats
 from statewalk.llm.secrets import BASE_RULES, listed, scan_secrets
 from statewalk.llm.simhash import simhash_groups
 from statewalk.llm.warc import read_index, write_archives
@@ -91,6 +92,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "n_links", F.col("component").alias("component_id"), "kept"
@@ -125,6 +130,7 @@ QUERIES = {
     "op3_main_text": op3_main_text,
     "op4_warc": op4_warc,
     "op5_format_chats": op5_format_chats,
+    "op6_remove_repeats": op6_remove_repeats,
     "op7_mix_sources": op7_mix_sources,
     "op8_embedding_groups": op8_embedding_groups,
     "op9_simhash": op9_simhash,
