@@ -9,26 +9,27 @@ from statewalk.sources.store import cut
 
 BROADCAST_BYTES = 128 * 1024 * 1024
 HOT_KEYS = 1024
+ROWS_PER_TASK = 10_000_000
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Measure rows x widest row; one pass with one row per task shuffled."""
     size = df.agg(
         F.count(F.lit(1)).alias("n"),
-        F.max(F.length(F.to_json(F.struct("*")))).alias("width"),
+        F.max(F.octet_length(F.to_json(F.struct("*")))).alias("width"),
     ).first()
     return size["n"] * ((size["width"] or 0) + 64) <= limit
 
 
-def hot_keys(many: DataFrame, on: list[str], limit: int = HOT_KEYS) -> DataFrame:
-    """Keys that own more than 1/`limit` of the rows, hence fewer than `limit`.
+def hot_keys(many: DataFrame, on: list[str], limit: int = HOT_KEYS, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys that own more than 1/`limit` of the rows, or more than `per_task` rows, with n_rows.
 
     The counts are combined before the shuffle, so a hot key costs one row per
     task here.
     """
     total = many.count()
     counts = many.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.where(F.col("n_rows") * limit > F.lit(total))
+    return counts.where((F.col("n_rows") * limit > F.lit(total)) | (F.col("n_rows") > per_task))
 
 
 def lookup_join(
@@ -39,14 +40,17 @@ def lookup_join(
     small: bool | None = None,
     salts: int = 64,
     limit: int = HOT_KEYS,
+    per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join `many` to `one`, which holds each key once.
 
     If `one` fits (`small`, or measured when not given) it is broadcast and
     `many` does not move.  Otherwise both are shuffled.  If `many` has hot keys,
-    their rows are spread over `salts` partitions, with the matching row of
-    `one` repeated there: fewer than `limit` keys can be hot, so fewer than
-    `limit` x `salts` rows are added.
+    their rows are spread over at least `salts` partitions, and over as many as
+    keep `per_task` rows in each, with the matching row of `one` repeated there.
+    Fewer than `limit` + rows / `per_task` keys can be hot.  The salt comes from
+    the place of a row in a written table: equal rows are spread too, and a
+    task that runs again gives the same.
 
     Finding the hot keys reads `many` before the join does, so a caller that
     computed it at some cost should hand over a written table.
@@ -56,19 +60,19 @@ def lookup_join(
         small = fits_broadcast(one)
     if small:
         return many.join(F.broadcast(one), on, how)
-    found = cut(hot_keys(many, on, limit).select(*on, F.lit(True).alias("_hot")))
+    count = F.greatest(F.lit(salts), F.ceil(F.col("n_rows") / per_task)).cast("int")
+    found = cut(hot_keys(many, on, limit, per_task).select(*on, count.alias("_salts")))
     if found.isEmpty():
         return many.join(one, on, how)
     hot = F.broadcast(found)
-    salt = F.when(
-        F.col("_hot"),
-        F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.lit(salts)).cast("int"),
-    ).otherwise(0)
-    spread = many.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_place")
+    placed = cut(many).select("*", place)
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod("_place", "_salts").cast("int")).otherwise(0)
+    spread = placed.join(hot, on, "left").withColumn("_salt", salt).drop("_salts", "_place")
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
     repeated = (
         one.join(hot, on, "left")
         .withColumn("_salt", F.explode(F.coalesce(every, F.array(F.lit(0)))))
-        .drop("_hot")
+        .drop("_salts")
     )
     return spread.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -33,14 +33,13 @@ def resolve_sequences(
     bytes each), so with `small` they are broadcast and the sequences never
     move; otherwise the skew-safe shuffled lookup is used.
 
-    Adds result, n_tokens, n_applied, n_moves and solved.  A sequence a stage
+    A NULL text is an empty one: nothing to undo, answer NULL.  Adds result, n_tokens, n_applied, n_moves and solved.  A sequence a stage
     cannot look up drops out, or stays with `unresolved` set.
     """
     kept = [c for c in sequences.columns if c != text]
     folded = F.col("_fold")
     rows = (
-        sequences.where(F.col(text).isNotNull())
-        .select(*kept, fold_tokens(split_tokens(F.col(text))).alias("_fold"))
+        sequences.select(*kept, fold_tokens(split_tokens(F.coalesce(F.col(text), F.lit("")))).alias("_fold"))
         .select(
             *kept,
             folded["n_tokens"].alias("n_tokens"),

@@ -13,12 +13,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statewalk.functions.algebra import TRANSITIONS
 from statewalk.functions.successors import PackedKeys, TextKeys
-from statewalk.operators.joins import lookup_join
+from statewalk.operators.joins import fits_broadcast, lookup_join
 from statewalk.sources.store import checkpointed, cut, write_bucketed
 
 SMALL_LEVEL = 100_000
 EDGES_PER_SALT = 1_000_000
+EDGES_PER_BUCKET = 4_000_000
 
 
 # --- one step ---------------------------------------------------------------
@@ -130,15 +132,19 @@ def bfs_states(
     tokens: list[str],
     max_depth: int,
     next_state: Callable[[DataFrame], DataFrame] | None = None,
-    inverse_closed: bool = True,
+    inverse_closed: bool | None = None,
 ) -> DataFrame:
     """Shortest paths from `seeds` (state) on the graph that the tokens span.
 
     Returns state, distance, path: each state once, with the smallest of its
-    shortest paths in byte order.  If every token's inverse is allowed too, a
-    neighbour of a level lies at most one level back, so two levels are enough
-    to recognise old states.
+    shortest paths in byte order.  If every token's inverse is allowed too, which
+    is looked up unless the caller says so, a neighbour of a level lies at most
+    one level back, so two levels are enough to recognise old states.  Without
+    seeds the result is empty.
     """
+    if inverse_closed is None:
+        inverses = {t.token: t.inverse for t in TRANSITIONS}
+        inverse_closed = all(inverses.get(t) in tokens for t in tokens)
     code = PathCode(tokens, max_depth)
     moves = keys.moves(code.tokens)
     next_state = next_state or keys.successor
@@ -159,7 +165,7 @@ def bfs_states(
         [
             rows.select("state", F.lit(distance).alias("distance"), code.array(distance).alias("path"))
             for distance, rows in enumerate(levels)
-            if sizes[distance]
+            if sizes[distance] or not distance
         ]
     )
 
@@ -198,14 +204,15 @@ class Adjacency:
             salt = F.when(
                 F.col("n_salts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("n_salts")).cast("int")
             ).otherwise(0)
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_edges = pairs.count() * (1 if directed else 2)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // EDGES_PER_BUCKET))
         laid_out = edges.select("src", salt.alias("salt"), "dst")
         self.edges = write_bucketed(laid_out, ["src", "salt"], parts)
 
     def neighbours(self, frontier: DataFrame, size: int) -> DataFrame:
         """(node, parent) for every edge that leaves the frontier (node)."""
         nodes = frontier.select(F.col("node").alias("src"))
-        if size <= SMALL_LEVEL:
+        if size <= SMALL_LEVEL and fits_broadcast(nodes):
             reached = self.edges.join(F.broadcast(nodes), "src")
         else:
             salts = F.array(F.lit(0))
@@ -219,14 +226,15 @@ class Adjacency:
 def bfs_paths(
     edges: DataFrame,
     seeds: DataFrame,
-    max_depth: int,
+    max_depth: int | None = None,
     directed: bool = False,
     per_salt: int = EDGES_PER_SALT,
 ) -> DataFrame:
     """Shortest paths over an edge table (src, dst) from the seeds (node).
 
-    Returns node, distance, path (seed ... node): each reached node once, with
-    its least distance.  Among equally short ways the smallest predecessor wins
+    Runs until a level finds nothing new, or for `max_depth` levels.  Returns
+    node, distance, path (seed ... node): each reached node once, with its least
+    distance.  Among equally short ways the smallest predecessor wins
     at every step, so only (node, parent) pairs are shuffled per edge and a path
     is built once per node, not once per edge.
     """
@@ -238,7 +246,7 @@ def bfs_paths(
         .select("node", F.array("node").alias("path"))
     )
     levels, sizes = [level], [level.count()]
-    while len(levels) <= max_depth and sizes[-1]:
+    while sizes[-1] and (max_depth is None or len(levels) <= max_depth):
         back = len(levels) if directed else 2
         found = dedupe_new(
             graph.neighbours(level, sizes[-1]),
@@ -247,9 +255,10 @@ def bfs_paths(
             F.min("parent").alias("parent"),
         )
         parents = level.select(F.col("node").alias("parent"), "path")
-        if sizes[-1] > SMALL_LEVEL:
+        small = sizes[-1] <= SMALL_LEVEL and fits_broadcast(parents)
+        if not small:
             found = cut(found)  # read twice below: hot parents are counted first
-        found = lookup_join(found, parents, "parent", small=sizes[-1] <= SMALL_LEVEL)
+        found = lookup_join(found, parents, "parent", small=small)
         level = cut(found.select("node", F.array_append("path", F.col("node")).alias("path")))
         levels.append(level)
         sizes.append(level.count())

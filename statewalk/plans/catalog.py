@@ -35,7 +35,6 @@ from statewalk.plans.stages import stage_table
 from statewalk.sources import tables as t
 from statewalk.sources.store import cut, load_paths, save_paths, scratch_path
 
-MAX_DEPTH = 12
 FULL_LAYOUT = [("corner", "pos"), ("edge", "pos"), ("corner", "ori"), ("edge", "ori")]
 
 
@@ -60,26 +59,26 @@ def _user_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bfs_paths(spark, sf_dir):
     return _path_text(
-        search_edges(t.order_part_edges(spark, sf_dir), t.first_part(spark, sf_dir), MAX_DEPTH)
+        search_edges(t.order_part_edges(spark, sf_dir), t.first_part(spark, sf_dir))
     )
 
 
 def bfs_multi_source(spark, sf_dir):
     return _path_text(
-        search_edges(t.trade_edges(spark, sf_dir), t.supplier_nodes(spark, sf_dir), MAX_DEPTH)
+        search_edges(t.trade_edges(spark, sf_dir), t.supplier_nodes(spark, sf_dir))
     )
 
 
 def bfs_directed(spark, sf_dir):
     return _path_text(
         search_edges(
-            t.supply_edges(spark, sf_dir), t.first_part(spark, sf_dir), MAX_DEPTH, directed=True
+            t.supply_edges(spark, sf_dir), t.first_part(spark, sf_dir), directed=True
         )
     )
 
 
 def bfs_level_histogram(spark, sf_dir):
-    found = search_edges(t.trade_edges(spark, sf_dir), t.first_part(spark, sf_dir), MAX_DEPTH)
+    found = search_edges(t.trade_edges(spark, sf_dir), t.first_part(spark, sf_dir))
     return found.groupBy("distance").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -108,12 +107,12 @@ def expand_two_pass(spark, sf_dir):
 
 
 def reverse_edge_paths(spark, sf_dir):
-    found = search_edges(t.trade_edges(spark, sf_dir), t.first_part(spark, sf_dir), MAX_DEPTH)
+    found = search_edges(t.trade_edges(spark, sf_dir), t.first_part(spark, sf_dir))
     return _path_text(reverse_paths(found))
 
 
 def stored_paths_roundtrip(spark, sf_dir):
-    found = search_edges(t.trade_edges(spark, sf_dir), t.customer_nodes(spark, sf_dir), MAX_DEPTH)
+    found = search_edges(t.trade_edges(spark, sf_dir), t.customer_nodes(spark, sf_dir))
     place = scratch_path(spark, "paths")
     save_paths(found.withColumnRenamed("node", "state"), place)
     return _path_text(load_paths(spark, place))
@@ -121,7 +120,7 @@ def stored_paths_roundtrip(spark, sf_dir):
 
 def lookup_nodes(spark, sf_dir):
     """Every line item with the path of its part from the smallest part."""
-    paths = search_edges(t.order_part_edges(spark, sf_dir), t.first_part(spark, sf_dir), MAX_DEPTH)
+    paths = search_edges(t.order_part_edges(spark, sf_dir), t.first_part(spark, sf_dir))
     lines = t.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("state")
     )

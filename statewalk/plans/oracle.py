@@ -8,7 +8,6 @@ time, and a stage is searched as pairs of two small component graphs.
 from __future__ import annotations
 
 from statewalk.functions.algebra import FACE_BASE, MODULUS, SLOTS, TOKENS
-from statewalk.plans.catalog import MAX_DEPTH
 from statewalk.plans.stages import stage_tokens
 from statewalk.sources.fixed import (
     BASIC_TRANSITIONS,
@@ -162,27 +161,27 @@ SUPPLY = (
 FIRST_PART = "SELECT 'p' || min(l_partkey) AS node FROM lineitem"
 
 
-def _search(edges: str, seeds: str, depth: int = MAX_DEPTH, directed: bool = False) -> str:
+def _search(edges: str, seeds: str, depth: int | None = None, directed: bool = False) -> str:
+    """Rounds until nothing new is found; each carries all nodes seen so far, d = round marks the new ones."""
     both = edges if directed else f"SELECT src, dst FROM pairs UNION ALL SELECT dst, src FROM pairs"
-    ctes = [
-        f"pairs AS ({edges})",
-        f"e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({both}) WHERE src <> dst)",
-        f"l0 AS MATERIALIZED (SELECT DISTINCT node, [node] AS path FROM ({seeds}))",
-    ]
-    for d in range(1, depth + 1):
-        old = range(d) if directed else range(max(0, d - 2), d)
-        seen = " UNION ALL ".join(f"SELECT node FROM l{o}" for o in old)
-        ctes.append(
-            f"""l{d} AS MATERIALIZED (
-  SELECT n.node, list_append(p.path, n.node) AS path
-  FROM (SELECT e.dst AS node, min(e.src) AS parent FROM l{d - 1} f JOIN e ON e.src = f.node
-        WHERE e.dst NOT IN ({seen}) GROUP BY e.dst) n
-  JOIN l{d - 1} p ON p.node = n.parent)"""
-        )
-    union = " UNION ALL ".join(
-        f"SELECT node, {d}::INT AS distance, path FROM l{d}" for d in range(depth + 1)
+    cap = "" if depth is None else f"s.round < {depth} AND "
+    return f"""WITH RECURSIVE pairs AS ({edges}),
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({both}) WHERE src <> dst),
+seen(node, path, d, round) AS (
+  SELECT DISTINCT node, [node], 0, 0 FROM ({seeds})
+  UNION ALL
+  SELECT * FROM (
+    WITH fresh AS (
+      SELECT e.dst AS node, min(e.src) AS parent FROM seen s JOIN e ON e.src = s.node
+      WHERE {cap}s.d = s.round AND e.dst NOT IN (SELECT node FROM seen) GROUP BY e.dst
     )
-    return "WITH " + ",\n".join([*ctes, f"found AS ({union})"]) + "\n"
+    SELECT f.node, list_append(s.path, f.node), s.d + 1, s.round + 1 FROM fresh f JOIN seen s ON s.node = f.parent
+    UNION ALL
+    SELECT node, path, d, round + 1 FROM seen WHERE EXISTS (SELECT 1 FROM fresh)
+  )
+),
+found AS (SELECT node, d::INT AS distance, path FROM seen WHERE d = round)
+"""
 
 
 PATHS = "SELECT node, distance, array_to_string(path, '>') AS path FROM found"

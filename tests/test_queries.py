@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from check import rows_of
+from statewalk.plans.catalog import QUERIES
+from statewalk.plans.oracle import ORACLE
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,13 +22,14 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.keys() <= contract.queries().keys() and ORACLE.keys() <= contract.oracle_sql().keys()
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = contract.queries()[name](spark, SF_DIR)
-    want = con.execute(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF_DIR)
+    want = con.execute(ORACLE[name])
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(df.columns)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])

@@ -2,6 +2,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 from plain import START, arrays, fold
 
 from statewalk.functions.algebra import TOKENS
@@ -20,6 +21,7 @@ GOLDEN = {
     "U r": "R u",
     "F B2 l": "L f B2",
     "": None,
+    None: None,
     "U X R": "u",
 }
 
@@ -34,7 +36,7 @@ def test_golden(spark, stage_tables):
     for i, text in enumerate(values):
         assert got[i]["result"] == GOLDEN[text]
         assert got[i]["solved"]
-    assert (got[6]["n_applied"], got[6]["n_tokens"]) == (1, 3)
+    assert (got[7]["n_applied"], got[7]["n_tokens"]) == (1, 3)
 
 
 def test_random_sequences_are_solved(spark, stage_tables):
@@ -72,6 +74,21 @@ def test_lookup_join_with_a_hot_key(spark):
             assert a == sorted(map(str, joined.collect())) and a
 
 
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    many = spark.createDataFrame([("hot", 1)] * 3000, "state string, n int")
+    one = spark.createDataFrame([("hot", 1)], "state string, v int")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = lookup_join(many, one, "state", small=False, per_task=50)
+        sizes = [n for _, n in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 3000 and len(sizes) == 8 and max(sizes) < 1000
+
+
 def test_replay_ends_at_the_seed_and_trace_agrees(spark, stage_tables):
     tokens = explode_tokens(texts(spark, [FIXED, "U r", "L F2 b U"]), "turns_text")
     states = key_states(fold_events(tokens, "seq_id", "i", "token"), "digits")

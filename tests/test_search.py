@@ -100,3 +100,19 @@ def test_long_paths_are_carried_as_arrays(spark):
     b = build_stage(spark, 1)
     rows = lambda df: sorted((r["state"], r["distance"], list(r["path"])) for r in df.collect())
     assert rows(a) == rows(b)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_a_long_chain_is_walked_to_its_end(spark, directed):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    found = bfs_paths(edges, spark.createDataFrame([(0,)], "node int"), directed=directed)
+    assert {r["node"]: r["path"] for r in found.collect()} == {i: list(range(i + 1)) for i in range(41)}
+
+
+def test_one_way_tokens_and_no_seeds(spark):
+    keys = KEYS[4]
+    seeds = spark.createDataFrame([(keys.pack(STAGE_SEEDS[4][0]),)], f"state {keys.type}")
+    found = bfs_states(seeds, keys, ["U"], 8).collect()
+    assert sorted(r["distance"] for r in found) == [0, 1, 2, 3]
+    assert len({r["state"] for r in found}) == 4
+    assert bfs_states(seeds.limit(0), keys, ["U", "u"], 3).count() == 0
