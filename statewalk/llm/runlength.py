@@ -25,7 +25,7 @@ from statewalk.sources.store import cut
 GRAM = 32
 #: Bytes that a task indexes at once; groups of one anchor are kept together.
 CHUNK_BYTES = 1 << 21
-#: An anchor with more stretches than this is compared by hashes of its strings.
+#: An anchor with more stretches than this is dealt over several indexes.
 HOT_STRETCHES = 2048
 SEPARATOR = 0xFF  # no byte of UTF-8
 
@@ -210,7 +210,7 @@ def spans_of(repeated: np.ndarray, start: int, length: int) -> list[tuple[int, i
 
 # --- on tables --------------------------------------------------------------
 
-SPANS = "k1 bigint, k2 bigint, begin bigint, end bigint"
+SPANS = ["k1", "k2", "begin", "end"]
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -280,57 +280,79 @@ def stretch_texts(suspects: DataFrame, length: int) -> DataFrame:
     )
 
 
-def indexed_spans(parts: DataFrame, length: int) -> DataFrame:
-    """Covered bytes found by run-length indexes over the stretches of whole anchors."""
+FOUND = "k1 bigint, k2 bigint, begin bigint, end bigint, w1 bigint, w2 bigint, c bigint"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
 
-        def search() -> pa.RecordBatch:
-            marks = repeated_strings([h[4] for h in held], [h[3] for h in held], length)
-            rows = [(h[0], h[1], a, b) for h, m in zip(held, marks) for a, b in spans_of(m, h[2], length)]
-            columns = list(zip(*rows)) or [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "begin", "end"])
+def chunk_rows(held: list[tuple], length: int, shared: bool) -> pa.RecordBatch:
+    """Rows of FOUND for stretches (k1, k2, start, n, part) that one index takes.
+
+    Equal parts enter the index once; all their strings are repeated.  With
+    `shared` other chunks hold stretches of the same anchors: then the strings
+    that are alone in this chunk are given by their hashes, c = 1, and each of
+    the others once, c = 2.
+    """
+    owners: dict[bytes, list[tuple]] = {}
+    for k1, k2, start, n, part in held:
+        owners.setdefault(part, []).append((k1, k2, start, n))
+    marks = repeated_strings(list(owners), [rows[0][3] for rows in owners.values()], length)
+    spans, alone, others = [], [], []
+    for (part, rows), mark in zip(owners.items(), marks):
+        if len(rows) > 1:
+            mark = np.ones(rows[0][3], dtype=bool)
+        for k1, k2, start, _ in rows:
+            spans.extend((k1, k2, a, b, None, None, None) for a, b in spans_of(mark, start, length))
+        if shared:
+            data = np.frombuffer(part, dtype=np.uint8)
+            w1, w2 = gram_hashes(data, length).view(np.int64), gram_hashes(data, length, seed=7).view(np.int64)
+            k1, k2, start, _ = rows[0]
+            for i in np.nonzero(~mark)[0].tolist():
+                alone.append((k1, k2, start + i, start + i + length, int(w1[i]), int(w2[i]), 1))
+            others.append(np.stack([w1[mark], w2[mark]], axis=1))
+    if others:
+        seen = np.unique(np.concatenate(others), axis=0)
+        spans.extend((None, None, None, None, u, v, 2) for u, v in seen.tolist())
+    columns = list(zip(*(spans + alone))) or [()] * 7
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "begin", "end", "w1", "w2", "c"]
+    )
+
 
-        last = None
+def indexed(parts: DataFrame, group: list[str], length: int, shared: bool) -> DataFrame:
+    """FOUND by run-length indexes over the stretches of whole groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, last = 0, None
         for batch in batches:
-            names = ("anchor", "k1", "k2", "start", "n", "part")
-            for anchor, *row in zip(*[batch.column(c).to_pylist() for c in names]):
-                if anchor != last and size >= CHUNK_BYTES:
-                    yield search()
+            names = (*group, "k1", "k2", "start", "n", "part")
+            for row in zip(*[batch.column(c).to_pylist() for c in names]):
+                key, row = row[: len(group)], row[len(group) :]
+                if key != last and size >= CHUNK_BYTES:
+                    yield chunk_rows(held, length, shared)
                     held, size = [], 0
-                last = anchor
+                last = key
                 held.append(row)
                 size += len(row[4])
         if held:
-            yield search()
+            yield chunk_rows(held, length, shared)
 
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
+    return parts.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, FOUND)
 
 
-def hashed_spans(parts: DataFrame, length: int) -> DataFrame:
-    """Covered bytes of stretches whose anchor is too frequent for one task.
+def hot_spans(parts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
+    """Covered bytes of stretches whose anchor, in `hot` (anchor, count), is too frequent for one task.
 
-    Each string is its two 64-bit hashes; they are counted, combined before the
-    shuffle, and strings that occur once go.
+    The stretches of an anchor are dealt over as many groups as its count asks
+    for, each group is indexed, and only strings that are alone in their group
+    are compared between groups, by two 64-bit hashes.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part = np.frombuffer(batch.column("part")[row].as_py(), dtype=np.uint8)
-                w1, w2 = gram_hashes(part, length).view(np.int64), gram_hashes(part, length, seed=7).view(np.int64)
-                n, start = len(w1), batch.column("start")[row].as_py()
-                same = pa.array(np.full(n, row))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k1").take(same), batch.column("k2").take(same), pa.array(w1), pa.array(w2), pa.array(start + np.arange(n))],
-                    ["k1", "k2", "w1", "w2", "begin"],
-                )
-
-    strings = parts.mapInArrow(gathered(run), "k1 bigint, k2 bigint, w1 bigint, w2 bigint, begin bigint")
-    twice = strings.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
-    return strings.join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", "begin", (F.col("begin") + length).alias("end"))
+    salts = F.ceil(F.col("count") / F.lit(HOT_STRETCHES))
+    dealt = parts.join(hot, "anchor").withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), salts)).drop("count")
+    found = cut(indexed(dealt, ["anchor", "salt"], length, shared=True))
+    strings = found.where("w1 is not null")
+    twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
+    across = strings.where("c = 1").join(twice, ["w1", "w2"], "left_semi")
+    return found.where("w1 is null").select(*SPANS).unionByName(across.select(*SPANS))
 
 
 def removed(texts: DataFrame) -> DataFrame:
@@ -398,15 +420,14 @@ def changed_texts(docs: DataFrame, length: int = 400, text: str = "text") -> Dat
     parts = stretch_texts(suspects, length)
     hot = cut(
         suspects.select(F.explode("places.anchor").alias("anchor")).groupBy("anchor").count()
-        .where(F.col("count") > HOT_STRETCHES).select("anchor")
+        .where(F.col("count") > HOT_STRETCHES)
     )
     if hot.isEmpty():
-        spans = indexed_spans(parts, length)
+        spans = indexed(parts, ["anchor"], length, shared=False).select(*SPANS)
     else:
         parts = cut(parts)
-        spans = indexed_spans(parts.join(hot, "anchor", "left_anti"), length).unionByName(
-            hashed_spans(parts.join(hot, "anchor", "left_semi"), length)
-        )
+        cold = parts.join(hot, "anchor", "left_anti")
+        spans = indexed(cold, ["anchor"], length, shared=False).select(*SPANS).unionByName(hot_spans(parts, hot, length))
     spans = cut(spans).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     marked = suspects.select("k1", "k2", "copies", "text").join(spans, ["k1", "k2"], "left")
