@@ -27,6 +27,8 @@ GRAM = 32
 CHUNK_BYTES = 1 << 21
 #: An anchor with more stretches than this is dealt over several indexes.
 HOT_STRETCHES = 2048
+#: Strings after which a stretch ends at the next place of its anchor.
+STRETCH_STRINGS = 1024
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,20 +70,28 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, count): successive strings of `length` bytes that share an anchor place."""
+def stretches(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, start, count, places): successive strings of `length` bytes with one anchor.
+
+    Two equal strings have their anchor at two places, so a stretch with an
+    anchor at one place holds no string twice.  A periodic text gives few long
+    stretches with many places, not one stretch for each place.
+    """
     if len(text) < length:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
+        return (np.zeros(0, dtype=np.int64),) * 4
     hashes = gram_hashes(np.frombuffer(text, dtype=np.uint8), min(GRAM, length))
     places = np.arange(len(hashes), dtype=np.uint64)
     # upper half of the hash, then the place: the leftmost of equal ones is least
     ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | places
     least = sliding_least(ranked, length - min(GRAM, length) + 1)
     starts = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
-    counts = np.diff(np.append(starts, len(least)))
     anchors = hashes[(least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64)
-    return anchors, starts, counts
+    other = np.concatenate([[True], anchors[1:] != anchors[:-1]])
+    begin = np.maximum.accumulate(np.where(other, starts, 0))
+    piece = (starts - begin) // STRETCH_STRINGS
+    first = np.nonzero(other | np.concatenate([[True], piece[1:] != piece[:-1]]))[0]
+    counts = np.diff(np.append(starts[first], len(least)))
+    return anchors[first], starts[first], counts, np.diff(np.append(first, len(starts)))
 
 
 # --- the index --------------------------------------------------------------
@@ -220,21 +230,21 @@ def text_keys(text: Column) -> list[Column]:
 
 
 def anchors_of(texts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, anchor, start, n) for the stretches of every text (k1, k2, text)."""
+    """(k1, k2, anchor, start, n, m) for the stretches of every text (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = batch.column("k1"), batch.column("k2")
             for at, text in enumerate(batch.column("text")):
-                anchors, starts, counts = stretches(text.as_py(), length)
-                if len(starts):
-                    same = np.full(len(starts), at)
+                found = stretches(text.as_py(), length)
+                if len(found[0]):
+                    same = pa.array(np.full(len(found[0]), at))
                     yield pa.RecordBatch.from_arrays(
-                        [k1.take(pa.array(same)), k2.take(pa.array(same)), pa.array(anchors), pa.array(starts.astype(np.int64)), pa.array(counts.astype(np.int64))],
-                        ["k1", "k2", "anchor", "start", "n"],
+                        [k1.take(same), k2.take(same), *[pa.array(x.astype(np.int64)) for x in found]],
+                        ["k1", "k2", "anchor", "start", "n", "m"],
                     )
 
-    return texts.mapInArrow(gathered(run), "k1 bigint, k2 bigint, anchor bigint, start bigint, n bigint")
+    return texts.mapInArrow(gathered(run), "k1 bigint, k2 bigint, anchor bigint, start bigint, n bigint, m bigint")
 
 
 def gathered(run, rows: int = 20_000):
@@ -255,7 +265,7 @@ def gathered(run, rows: int = 20_000):
 
 
 def stretch_texts(suspects: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, anchor, start, n, part): the bytes of each stretch in `suspects` (text, places)."""
+    """(k1, k2, anchor, start, n, c, part): the bytes of each stretch in `suspects` (text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,44 +277,42 @@ def stretch_texts(suspects: DataFrame, length: int) -> DataFrame:
                     [
                         pa.array([k1] * len(places), pa.int64()),
                         pa.array([k2] * len(places), pa.int64()),
-                        pa.array([p["anchor"] for p in places], pa.int64()),
-                        pa.array([p["start"] for p in places], pa.int64()),
-                        pa.array([p["n"] for p in places], pa.int64()),
+                        *[pa.array([p[name] for p in places], pa.int64()) for name in ("anchor", "start", "n", "c")],
                         pa.array([text[p["start"] : p["start"] + p["n"] - 1 + length] for p in places], pa.binary()),
                     ],
-                    ["k1", "k2", "anchor", "start", "n", "part"],
+                    ["k1", "k2", "anchor", "start", "n", "c", "part"],
                 )
 
     return suspects.mapInArrow(
-        gathered(run, 2_000), "k1 bigint, k2 bigint, anchor bigint, start bigint, n bigint, part binary"
+        gathered(run, 2_000), "k1 bigint, k2 bigint, anchor bigint, start bigint, n bigint, c bigint, part binary"
     )
 
 
 FOUND = "k1 bigint, k2 bigint, begin bigint, end bigint, w1 bigint, w2 bigint, c bigint"
 
 
-def chunk_rows(held: list[tuple], length: int, shared: bool) -> pa.RecordBatch:
-    """Rows of FOUND for stretches (k1, k2, start, n, part) that one index takes.
+def chunk_rows(held: list[tuple], length: int) -> pa.RecordBatch:
+    """Rows of FOUND for stretches (k1, k2, start, n, shared, part) that one index takes.
 
-    Equal parts enter the index once; all their strings are repeated.  With
-    `shared` other chunks hold stretches of the same anchors: then the strings
-    that are alone in this chunk are given by their hashes, c = 1, and each of
-    the others once, c = 2.
+    Equal parts enter the index once; all their strings are repeated.  If a
+    stretch is `shared`, other chunks hold stretches of the same anchor: then its
+    strings that are alone in this chunk are given by their hashes, c = 1, and
+    each of the others once, c = 2.
     """
     owners: dict[bytes, list[tuple]] = {}
-    for k1, k2, start, n, part in held:
-        owners.setdefault(part, []).append((k1, k2, start, n))
+    for row in held:
+        owners.setdefault(row[-1], []).append(row)
     marks = repeated_strings(list(owners), [rows[0][3] for rows in owners.values()], length)
     spans, alone, others = [], [], []
     for (part, rows), mark in zip(owners.items(), marks):
+        k1, k2, start, n, shared, _ = rows[0]
         if len(rows) > 1:
-            mark = np.ones(rows[0][3], dtype=bool)
-        for k1, k2, start, _ in rows:
-            spans.extend((k1, k2, a, b, None, None, None) for a, b in spans_of(mark, start, length))
+            mark = np.ones(n, dtype=bool)
+        for row in rows:
+            spans.extend((*row[:2], a, b, None, None, None) for a, b in spans_of(mark, row[2], length))
         if shared:
             data = np.frombuffer(part, dtype=np.uint8)
             w1, w2 = gram_hashes(data, length).view(np.int64), gram_hashes(data, length, seed=7).view(np.int64)
-            k1, k2, start, _ = rows[0]
             for i in np.nonzero(~mark)[0].tolist():
                 alone.append((k1, k2, start + i, start + i + length, int(w1[i]), int(w2[i]), 1))
             others.append(np.stack([w1[mark], w2[mark]], axis=1))
@@ -317,38 +325,41 @@ def chunk_rows(held: list[tuple], length: int, shared: bool) -> pa.RecordBatch:
     )
 
 
-def indexed(parts: DataFrame, group: list[str], length: int, shared: bool) -> DataFrame:
-    """FOUND by run-length indexes over the stretches of whole groups."""
+def indexed(parts: DataFrame, length: int) -> DataFrame:
+    """FOUND by run-length indexes over the stretches of whole groups (anchor, salt)."""
+    group = ["anchor", "salt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            names = (*group, "k1", "k2", "start", "n", "part")
+            names = (*group, "k1", "k2", "start", "n", "shared", "part")
             for row in zip(*[batch.column(c).to_pylist() for c in names]):
                 key, row = row[: len(group)], row[len(group) :]
                 if key != last and size >= CHUNK_BYTES:
-                    yield chunk_rows(held, length, shared)
+                    yield chunk_rows(held, length)
                     held, size = [], 0
                 last = key
                 held.append(row)
-                size += len(row[4])
+                size += len(row[-1])
         if held:
-            yield chunk_rows(held, length, shared)
+            yield chunk_rows(held, length)
 
     return parts.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, FOUND)
 
 
-def hot_spans(parts: DataFrame, hot: DataFrame, length: int) -> DataFrame:
-    """Covered bytes of stretches whose anchor, in `hot` (anchor, count), is too frequent for one task.
+def covered_spans(parts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, begin, end): covered bytes of the stretches in `parts`.
 
     The stretches of an anchor are dealt over as many groups as its count asks
-    for, each group is indexed, and only strings that are alone in their group
-    are compared between groups, by two 64-bit hashes.
+    for, mostly one, and each group is indexed whole.  Where there are several,
+    strings that are alone in their group are compared between groups, by two
+    64-bit hashes.
     """
-    salts = F.ceil(F.col("count") / F.lit(HOT_STRETCHES))
-    dealt = parts.join(hot, "anchor").withColumn("salt", F.pmod(F.xxhash64("k1", "k2", "start"), salts)).drop("count")
-    found = cut(indexed(dealt, ["anchor", "salt"], length, shared=True))
+    salts = F.ceil(F.col("c") / F.lit(HOT_STRETCHES))
+    salt = F.pmod(F.xxhash64("k1", "k2", "start"), salts).alias("salt")
+    dealt = parts.select("anchor", salt, "k1", "k2", "start", "n", (salts > 1).alias("shared"), "part")
+    found = cut(indexed(dealt, length))
     strings = found.where("w1 is not null")
     twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
     across = strings.where("c = 1").join(twice, ["w1", "w2"], "left_semi")
@@ -407,28 +418,18 @@ def changed_texts(docs: DataFrame, length: int = 400, text: str = "text") -> Dat
     """(k1, k2, n_removed, n_spans, kept): one row per distinct text that loses bytes."""
     keyed = docs.select(*text_keys(whole(text)), whole(text).cast("binary").alias("text"))
     anchors = cut(anchors_of(keyed, length))
-    per_anchor = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    again = cut(per_anchor.select("anchor"))
+    again = cut(anchors.groupBy("anchor").agg(F.sum("m").alias("c")).where("c > 1"))
+    # the count of its anchor comes along with each stretch and tells how it is dealt
     places = (
-        anchors.join(again, "anchor", "left_semi")
+        anchors.join(again, "anchor")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct("anchor", "start", "n")).alias("places"))
+        .agg(F.collect_set(F.struct("anchor", "start", "n", "c")).alias("places"))
     )
     # copies are folded before they move; what is left of a text is one row
     texts = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
     suspects = cut(texts.join(places, ["k1", "k2"]))
-    parts = stretch_texts(suspects, length)
-    hot = cut(
-        suspects.select(F.explode("places.anchor").alias("anchor")).groupBy("anchor").count()
-        .where(F.col("count") > HOT_STRETCHES)
-    )
-    if hot.isEmpty():
-        spans = indexed(parts, ["anchor"], length, shared=False).select(*SPANS)
-    else:
-        parts = cut(parts)
-        cold = parts.join(hot, "anchor", "left_anti")
-        spans = indexed(cold, ["anchor"], length, shared=False).select(*SPANS).unionByName(hot_spans(parts, hot, length))
-    spans = cut(spans).groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = covered_spans(stretch_texts(suspects, length), length)
+    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     marked = suspects.select("k1", "k2", "copies", "text").join(spans, ["k1", "k2"], "left")
     changed = marked.where("copies > 1 or spans is not null").withColumn("spans", F.coalesce("spans", empty))

@@ -130,6 +130,23 @@ def test_repeats(monkeypatch, docs, nulls, texts, hot):
         assert without_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2048, 3])
+def test_periodic_texts(monkeypatch, spark, hot):
+    monkeypatch.setattr(runlength, "HOT_STRETCHES", hot)
+    monkeypatch.setattr(runlength, "STRETCH_STRINGS", 50)
+    rng = random.Random(9)
+    noise = ["".join(rng.choices("abcd", k=300)) for _ in range(4)]
+    values = ["a" * 700, "ab" * 300 + noise[0], noise[1] + "ba" * 90, "abc" * 14, "b" * 40, noise[2] + "a" * 41 + noise[3], "a" * 39]
+    values += [noise[3][:200] + "|" + noise[0][50:], "é" * 60, "x" * 41]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string")
+    got = by_id(without_repeats(rows, 40))
+    want = brute.without_repeats(dict(enumerate(values)), 40)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    long = "ab" * 500_000
+    anchors, _, counts, _ = runlength.stretches(long.encode(), 400)
+    assert counts.sum() == len(long) - 399 and len(anchors) * 50 < 1.1 * len(long)
+
+
 def test_run_length_index():
     import numpy as np
 
