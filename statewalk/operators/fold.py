@@ -64,13 +64,46 @@ def ordered_blocks(
     )
 
 
+def _dense(blocks: DataFrame, bits: int) -> DataFrame:
+    """Written blocks with numbers that follow each other closely over the partitions.
+
+    Row ids leave 33 bits for the rows of a partition; levels would run through
+    all of them before blocks of two partitions meet.
+    """
+    inside = F.col("_block").bitwiseAND(F.lit((1 << (33 - bits)) - 1))
+    width = int(blocks.agg(F.max(inside)).first()[0] or 0).bit_length()
+    partition = F.shiftright("_block", 33 - bits)
+    return blocks.withColumn("_block", F.shiftleft(partition, width).bitwiseOR(inside))
+
+
+def _too_many(blocks: DataFrame, key: list[str], bits: int) -> bool:
+    """Whether a key has more blocks than one list may hold; counted before the shuffle."""
+    counts = blocks.groupBy(*key).count()
+    return not counts.where(F.col("count") > (1 << bits)).isEmpty()
+
+
+def _grouped(blocks: DataFrame, key: list[str], *over: Column) -> DataFrame:
+    """The (_block, value) pairs of a key in order, as `_items`."""
+    return blocks.groupBy(*key, *over).agg(_ordered_list("_block", "value").alias("_items"))
+
+
+def _levels(blocks: DataFrame, key: list[str], bits: int, combine) -> list[DataFrame]:
+    """Written tables (key, _block, value), each joining up to 2^bits neighbours of the one before.
+
+    The last one has at most 2^bits rows of any key; mostly it is the first.
+    """
+    levels = [_dense(blocks, bits)]
+    while _too_many(levels[-1], key, bits):
+        above = F.shiftright("_block", bits).alias("_block")
+        groups = _grouped(levels[-1], key, above)
+        levels.append(cut(groups.select(*key, "_block", combine(F.col("_items.value")).alias("value"))))
+    return levels
+
+
 def _combine_blocks(blocks: DataFrame, key: list[str], bits: int, combine) -> DataFrame:
     """Join `value` of neighbouring blocks, in order, up to one row per key."""
-    for group in ([*key, F.shiftright("_block", bits).alias("_block")], key):
-        blocks = blocks.groupBy(*group).agg(_ordered_list("_block", "value").alias("_items"))
-        kept = [c for c in blocks.columns if c != "_items"]
-        blocks = blocks.select(*kept, combine(F.col("_items.value")).alias("value"))
-    return blocks
+    top = _levels(cut(blocks), key, bits, combine)[-1]
+    return _grouped(top, key).select(*key, combine(F.col("_items.value")).alias("value"))
 
 
 def _fold_values(values: Column) -> Column:
@@ -145,25 +178,14 @@ def fold_history(
             fold_tokens(F.col("items"), transitions=transitions).alias("value"),
         )
     )
-    wide = bits + BLOCK_BITS
-    supers = (
-        blocks.groupBy(*key, F.shiftright("_block", BLOCK_BITS).alias("_super"))
-        .agg(_ordered_list("_block", "value").alias("_items"))
-    )
-    tops = (
-        supers.select(*key, F.col("_super").alias("_block"), _fold_values(F.col("_items.value")).alias("value"))
-        .groupBy(*key)
-        .agg(_ordered_list("_block", "value").alias("_items"))
-    )
-    first = fold_start(start)
-    super_starts = tops.select(*key, F.explode(_starts(F.col("_items"), first)).alias("s")).select(
-        *key, F.col("s._block").alias("_super"), F.col("s.start").alias("_from")
-    )
-    block_starts = (
-        supers.join(super_starts, [*key, "_super"])
-        .select(*key, F.explode(_starts(F.col("_items"), F.col("_from"))).alias("s"))
-        .select(*key, "s._block", "s.start")
-    )
+    levels = _levels(blocks, key, bits, _fold_values)
+    tops = _grouped(levels[-1], key)
+    starts = tops.select(*key, F.explode(_starts(F.col("_items"), fold_start(start))).alias("s"))
+    for level in reversed(levels[:-1]):
+        above = starts.select(*key, F.col("s._block").alias("_up"), F.col("s.start").alias("_from"))
+        groups = _grouped(level, key, F.shiftright("_block", bits).alias("_up")).join(above, [*key, "_up"])
+        starts = groups.select(*key, F.explode(_starts(F.col("_items"), F.col("_from"))).alias("s"))
+    block_starts = starts.select(*key, "s._block", "s.start")
     walked = F.aggregate(
         token_faces(F.col("items"), transitions),
         F.array(F.col("start").cast(FOLD_TYPE)),
@@ -172,7 +194,8 @@ def fold_history(
         ),
     )
     steps = (
-        blocks.drop("value")
+        levels[0]
+        .drop("value")
         .join(block_starts, [*key, "_block"])
         .select(*key, F.explode(F.arrays_zip(F.slice(walked, 2, F.size("items")).alias("s"), F.col("items").alias("token"))).alias("x"))
         .where(~F.col("x.s.stopped"))

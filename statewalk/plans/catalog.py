@@ -18,7 +18,7 @@ from statewalk.operators.fold import (
 from statewalk.operators.joins import lookup_join
 from statewalk.operators.keyed import canonical_groups, class_sizes, key_states
 from statewalk.operators.replay import lookup_paths, replay_inverse, replay_trace, reverse_paths
-from statewalk.operators.resolve import resolve_sequences as resolve
+from statewalk.operators.resolve import resolve_states, resolve_trace
 from statewalk.operators.search import (
     bfs_paths as search_edges,
     bfs_states as search_states,
@@ -273,12 +273,20 @@ def replay_trace_stage2(spark, sf_dir):
     return replay_trace(found).select("user_id", "step", "move", *_joined(STATE_FIELDS))
 
 
+def _stage_tables(spark):
+    return {k: stage_table(spark, k) for k in (1, 2, 3, 4)}
+
+
 def resolve_sequences(spark, sf_dir):
-    """One sequence per user: its event tokens as one text, taken back to the start."""
-    events = t.event_tokens(spark, sf_dir)
-    texts = concat_trace(events, "user_id", ["ts", "event_id"], "token")
-    sequences = texts.withColumnRenamed("result", "turns_text")
-    return resolve(sequences, {k: stage_table(spark, k) for k in (1, 2, 3, 4)})
+    """Every user's events folded to a state, which is taken back to the start."""
+    return resolve_states(_user_states(spark, sf_dir), _stage_tables(spark))
+
+
+def trace_of_resolve(spark, sf_dir):
+    """The same, step by step."""
+    states = _user_states(spark, sf_dir).drop("n_tokens", "n_applied")
+    found = resolve_trace(states, _stage_tables(spark))
+    return found.select("user_id", "stage", "step", "move", *_joined(STATE_FIELDS))
 
 
 QUERIES = {
@@ -316,4 +324,5 @@ QUERIES = {
     "replay_stage1": replay_stage1,
     "replay_trace": replay_trace_stage2,
     "resolve_sequences": resolve_sequences,
+    "resolve_trace": trace_of_resolve,
 }

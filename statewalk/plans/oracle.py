@@ -295,7 +295,8 @@ def _fold(start: str, applied: str) -> str:
     return f"list_reduce({steps}, lambda p, q: list_transform(q, lambda x: p[x + 1]))"
 
 
-def _resolve() -> str:
+def _resolved() -> list[str]:
+    """Tables r1 to r4: every user's state s0 before a stage, the tokens applied, s after it."""
     ctes = [MOVES, EVENT_TOKENS, WALK, LAST, TOKEN_FACES]
     for k in (1, 2, 3, 4):
         ctes += _stage(k)
@@ -303,12 +304,30 @@ def _resolve() -> str:
     for k, scheme in ((1, "digits"), (2, "flags"), (3, "buckets"), (4, "hex")):
         ctes.append(
             f"""r{k} AS MATERIALIZED (
-  SELECT v.k, v.n, {_fold('v.s', 'v.applied')} AS s, list_concat(v.done, v.applied) AS done
+  SELECT v.k, v.n, {_fold('v.s', 'v.applied')} AS s, list_concat(v.done, v.applied) AS done,
+         v.s AS s0, v.applied
   FROM (SELECT q.k, q.n, q.s, q.done, {_undo('g.path')} AS applied
         FROM (SELECT *, {KEY[scheme]} AS state FROM (SELECT *, {PARTS['corner_pos']} AS c FROM r{k - 1})) q
         JOIN g{k} g USING (state), tokenmap tm) v, tokenmap tm)"""
         )
-    return _with(*ctes) + (
+    return ctes
+
+
+def _resolve_trace() -> str:
+    steps = " UNION ALL ".join(
+        f"SELECT k, {j}::INT AS stage, s0, applied, unnest(range(0, len(applied) + 1)) AS step FROM r{j}"
+        " WHERE k IN (SELECT k FROM r4)"
+        for j in (1, 2, 3, 4)
+    )
+    return _with(*_resolved()) + (
+        f"SELECT k AS user_id, stage, step::INT AS step, applied[step] AS move, {_state_text('z')}"
+        f" FROM (SELECT v.k, v.stage, v.step, v.applied, {_fold('v.s0', 'v.applied[1:v.step]')} AS z"
+        f" FROM ({steps}) v, tokenmap tm)"
+    )
+
+
+def _resolve() -> str:
+    return _with(*_resolved()) + (
         "SELECT k AS user_id, n AS n_tokens, n AS n_applied,"
         " CASE WHEN len(done) > 0 THEN array_to_string(done, ' ') END AS result,"
         f" len(done)::INT AS n_moves, s = {IDENTITY} AS solved FROM r4"
@@ -445,6 +464,7 @@ FROM (SELECT v.k, v.step, v.applied, {_fold('v.s', 'v.applied[1:v.step]')} AS z
                   FROM (SELECT *, {KEY['flags']} AS state FROM final) w JOIN g2 g USING (state), tokenmap tm)) v,
            tokenmap tm)""",
     "resolve_sequences": _resolve(),
+    "resolve_trace": _resolve_trace(),
 }
 ORACLE["canonical_join"] = _with(
     MOVES,

@@ -2,15 +2,19 @@ import random
 
 import pytest
 from plain import arrays, fold
+from pyspark.sql import functions as F
 
-from statewalk.functions.algebra import TOKENS
+from statewalk.functions.algebra import TOKENS, int_array
 from statewalk.operators.fold import (
+    _levels,
     concat_trace,
     explode_tokens,
     fold_events,
     fold_history,
     last_state,
+    ordered_blocks,
 )
+from statewalk.sources.store import cut
 
 
 def sequences():
@@ -39,6 +43,26 @@ def test_fold_in_blocks_equals_plain(spark, bits):
         assert (got[k]["n_applied"], got[k]["n_tokens"]) == (n, len(tokens))
 
 
+def test_folds_from_another_state_and_levels(spark):
+    tokens = ["R", "u", "F2"]
+    begin, _ = fold(tokens)
+    lists = [begin[kind][part] for kind in ("pos", "ori") for part in ("corner", "edge")]
+    names = ["corner_pos", "edge_pos", "corner_ori", "edge_ori"]
+    init = F.struct(*[int_array(values).alias(name) for name, values in zip(names, lists)])
+    known = events(spark).where("k in ('hot', '3')")
+    got = {r["k"]: r for r in fold_events(known, "k", "i", "t", init=init, bits=1).collect()}
+    steps = {(r["k"], r["i"]): r for r in fold_history(known, "k", "i", "t", init=init, bits=1).collect()}
+    for k in ("hot", "3"):
+        mine = sequences()[k]
+        assert arrays(got[k]) == fold(tokens + mine)[0] == arrays(steps[k, len(mine) + 1])
+        assert arrays(steps[k, 1]) == begin
+    blocks = cut(ordered_blocks(known, ["k"], ["i"], F.col("t"), 1).selectExpr("k", "_block", "size(items) AS value"))
+    levels = _levels(blocks, ["k"], 1, lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x))
+    assert len(levels) >= 4
+    assert all(r["s"] == len(sequences()[r["k"]]) for r in levels[-1].groupBy("k").agg(F.sum("value").alias("s")).collect())
+    assert levels[-1].groupBy("k").count().where("count > 2").isEmpty()
+
+
 @pytest.mark.parametrize("bits", [1, 8])
 def test_history_equals_plain(spark, bits):
     history = fold_history(events(spark), "k", "i", "t", bits=bits)

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from plain import START, arrays, fold
 
 from statewalk.functions.algebra import TOKENS
-from statewalk.operators.fold import explode_tokens, fold_events
+from statewalk.operators.fold import concat_trace, explode_tokens, fold_events
 from statewalk.operators.joins import fits_broadcast, hot_keys, lookup_join
 from statewalk.operators.keyed import key_states
 from statewalk.operators.replay import lookup_paths, replay_inverse, replay_trace
-from statewalk.operators.resolve import resolve_sequences
+from statewalk.operators.resolve import resolve_sequences, resolve_states, resolve_trace
 from statewalk.sources.store import load_paths, save_paths, scratch_path, shared_folder
 
 FIXED = "L2 d U F2 U F2 D B f D f l B2 f R2 F2 r F D2 l U L R2 f D2 F d"
@@ -61,6 +61,31 @@ def test_shuffled_lookup_and_unresolved(spark, stage_tables):
     assert len(kept) == 4 and all(r["unresolved"] for r in kept)
 
 
+def test_states_and_trace_agree_with_texts(spark, stage_tables):
+    rows = texts(spark, [FIXED, "U r", "F B2 l", "R2 d"])
+    states = fold_events(explode_tokens(rows, "turns_text"), "seq_id", "i", "token")
+    want = {r["seq_id"]: r.asDict() for r in resolve_sequences(rows, stage_tables).collect()}
+    got = {r["seq_id"]: r.asDict() for r in resolve_states(states, stage_tables).collect()}
+    assert got == want
+    trace = resolve_trace(states.drop("n_tokens", "n_applied"), stage_tables)
+    text = {r["seq_id"]: r["result"] for r in concat_trace(trace, "seq_id", ["stage", "step"], "move").collect()}
+    assert text == {k: r["result"] for k, r in want.items()}
+    steps = sorted(trace.collect(), key=lambda r: (r["seq_id"], r["stage"], r["step"]))
+    for key, row in want.items():
+        mine = [s for s in steps if s["seq_id"] == key]
+        assert {(s["stage"], s["move"]) for s in mine if s["step"] == 0} == {(k, None) for k in (1, 2, 3, 4)}
+        begin = rows.where(rows["seq_id"] == key).first()["turns_text"].split()
+        done = []
+        for s in mine:
+            done += [s["move"]] if s["move"] else []
+            assert arrays(s) == fold(begin + done)[0]
+        assert arrays(mine[-1]) == START
+    part = stage_tables | {2: stage_tables[2].limit(0)}
+    assert resolve_trace(states, part).count() == 0
+    kept = resolve_trace(states, part, keep_unresolved=True)
+    assert kept.where("stage = 2 and step > 0").count() == 0 and kept.where("stage = 1 and step > 0").count() > 0
+
+
 def test_lookup_join_with_a_hot_key(spark):
     rows = [("hot" if i % 3 == 0 else f"k{i}", i) for i in range(3000)]
     many = spark.createDataFrame(rows, "state string, n int")
