@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.decontam import contamination
+from statewalk.llm.divergence import source_divergence
 from statewalk.llm.embeddings import embedding_groups
 from statewalk.llm.html_text import extract_main_text, fit_extractor
 from statewalk.llm.mixing import mix_sources
@@ -124,6 +125,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -135,4 +140,5 @@ QUERIES = {
     "op8_embedding_groups": op8_embedding_groups,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op13_source_divergence": op13_source_divergence,
 }
