@@ -9,6 +9,7 @@ from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.decontam import contamination
 from statewalk.llm.divergence import source_divergence
 from statewalk.llm.embeddings import embedding_groups
+from statewalk.llm.hardneg import hard_negatives
 from statewalk.llm.html_text import extract_main_text, fit_extractor
 from statewalk.llm.mixing import mix_sources
 from statewalk.llm.quality import classify_quality, fit_quality
@@ -125,6 +126,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", changed))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -140,5 +146,6 @@ QUERIES = {
     "op8_embedding_groups": op8_embedding_groups,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }

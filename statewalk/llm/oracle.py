@@ -175,4 +175,28 @@ SELECT * FROM (
 ) WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE = {"op13_source_divergence": OP13, "op4_warc": OP4, "op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_secret_scan": OP10}
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         coalesce(list_sum([a.c[i] * b.c[i] FOR i IN range(1, len(a.c) + 1)]), 0)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.c) = len(b.c)
+  WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLE = {"op12_hard_negatives": OP12, "op13_source_divergence": OP13, "op4_warc": OP4, "op2_decontaminate": OP2, "op7_mix_sources": OP7, "op10_secret_scan": OP10}
