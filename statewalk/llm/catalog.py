@@ -16,6 +16,7 @@ from statewalk.llm.quality import classify_quality, fit_quality
 from statewalk.llm.runlength import without_repeats
 from statewalk.llm.secrets import BASE_RULES, listed, scan_secrets
 from statewalk.llm.simhash import simhash_groups
+from statewalk.llm.toxicity import classify_toxicity, fit_toxicity
 from statewalk.llm.warc import read_index, write_archives
 from statewalk.sources.store import scratch_path
 from statewalk.sources.tables import table
@@ -126,6 +127,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classifier = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    return classify_toxicity(docs, classifier).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"
+    )
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", changed))
@@ -146,6 +155,7 @@ QUERIES = {
     "op8_embedding_groups": op8_embedding_groups,
     "op9_simhash": op9_simhash,
     "op10_secret_scan": op10_secret_scan,
+    "op11_toxicity": op11_toxicity,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_source_divergence": op13_source_divergence,
 }
