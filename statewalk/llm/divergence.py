@@ -11,14 +11,14 @@ stream by as corrections.
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby, repeat
 from operator import itemgetter
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,111 +27,233 @@ from statewalk.llm.common import whole
 from statewalk.operators.joins import lookup_join
 from statewalk.sources.store import cut
 
-#: Postings (language, source, term) that a task holds before it spills them as a run.
-BLOCK_POSTINGS = 400_000
+#: Bytes of text whose postings a task holds before it spills them as a run; a longer text makes a block alone.
+BLOCK_BYTES = 16 << 20
 #: Bytes of text for each hash shard of the terms.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Runs that one merge takes; more are merged in several rounds.
 FAN_IN = 512
 #: Bytes of a text that are cut into terms at once.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 4 << 20
 #: Kept terms whose corrections one task sums, and sources on each side of its sums.
 CHUNK_TERMS, SOURCE_BLOCK = 10_000, 512
 SCALE = 1_000_000_000
 
-#: A-Z to lower case; every ASCII byte that is no letter ends a term.
-_TO_TERMS = bytes(
-    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
-)
+#: A-Z to lower case; every ASCII byte that is no letter ends a term and becomes zero.
+_TO_TERMS = np.array([b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0 for b in range(256)], dtype=np.uint8)
+_WEIGHTS = np.random.default_rng(13).integers(1, 1 << 62, 64, dtype=np.uint64) | np.uint64(1)
 
-RUNS = "shard int, run bigint, lang string, terms array<binary>, sources array<string>, n array<bigint>, docs array<bigint>"
+#: A row is a slice of a run: terms in order, the documents of each, and in `ends` where its
+#: postings (place in `names`, n) end.
+RUNS = (
+    "shard int, run bigint, lang string, terms array<binary>, docs array<bigint>, ends array<bigint>, "
+    "names array<string>, sources array<bigint>, n array<bigint>"
+)
 TERMS = "lang string, term binary, total bigint, docs bigint, sources array<string>, n array<bigint>"
+_LISTS = {"terms": pa.binary(), "docs": pa.int64(), "ends": pa.int64(), "names": pa.string(), "sources": pa.int64(), "n": pa.int64()}
+
+
+# --- building runs ----------------------------------------------------------
+
+
+def cut_terms(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts that lie end to end in `data` from `starts` on, and the text of each."""
+    clean = _TO_TERMS[data]
+    inside = clean != 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    begun = starts[starts < len(data)]
+    opens[begun] = inside[begun]
+    first = np.nonzero(opens)[0]
+    kept = clean[inside]
+    offsets = np.append(np.cumsum(inside)[first] - 1, len(kept)).astype(np.int32) if len(first) else np.zeros(1, dtype=np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+    return terms, np.searchsorted(starts, first, side="right") - 1
+
+
+def cut_texts(texts: list[bytes], piece: int = PIECE_BYTES) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """The terms of whole texts and the text of each, some bytes at a time; long texts are cut between terms."""
+    terms, owners, held, ids, size = [], [], [], [], 0
+
+    def take():
+        nonlocal held, ids, size
+        starts = np.cumsum([0, *map(len, held[:-1])]) if held else np.zeros(0, dtype=np.int64)
+        found, owner = cut_terms(np.frombuffer(b"".join(held), dtype=np.uint8), starts)
+        terms.append(found)
+        owners.append(np.array(ids, dtype=np.int64)[owner])
+        held, ids, size = [], [], 0
+
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > piece:
+            end = text.find(b" ", at + piece)
+            if end < 0:
+                break
+            held.append(text[at:end])
+            ids.append(i)
+            take()
+            at = end
+        held.append(text[at:] if at else text)
+        ids.append(i)
+        size += len(held[-1])
+        if size >= piece:
+            take()
+    take()
+    return pa.chunked_array(terms, pa.binary()), np.concatenate(owners)
+
+
+def term_shards(terms: pa.Array, shards: int) -> np.ndarray:
+    """The hash shard of each term: the same in every run."""
+    offsets = np.frombuffer(terms.buffers()[1], dtype=np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+    data = np.frombuffer(terms.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+    starts = offsets[:-1] - offsets[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets))
+    mixed = np.add.reduceat(data * _WEIGHTS[place & 63], starts)
+    mixed ^= mixed >> np.uint64(31)
+    return ((mixed * _WEIGHTS[0] >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def runs_of(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts in a sorted array."""
+    return np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def run_batch(rows: list[dict]) -> pa.RecordBatch:
+    """RUNS for slices given as dicts of arrays."""
+    columns = [pa.array([r["shard"] for r in rows], pa.int32()), pa.array([r["run"] for r in rows], pa.int64()), pa.array([r["lang"] for r in rows], pa.string())]
+    for name, kind in _LISTS.items():
+        parts = [pa.array(r[name], kind) for r in rows]
+        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(parts) if parts else pa.array([], kind)))
+    return pa.RecordBatch.from_arrays(columns, ["shard", "run", "lang", *_LISTS])
+
+
+def spilled(texts: list[bytes], groups: list[tuple[str, str]], shards: int, run: int) -> pa.RecordBatch | None:
+    """The postings of a block of texts, each of a group (lang, source), as one run in the order of terms."""
+    cut_up, owner = cut_texts(texts)
+    if not len(cut_up):
+        return None
+    encoded = cut_up.combine_chunks().dictionary_encode()
+    terms, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+    shard = term_shards(terms, shards)
+    ranks = np.empty(len(terms), dtype=np.int64)
+    ranks[pc.array_sort_indices(terms).to_numpy()] = np.arange(len(terms))
+    order = np.lexsort((ranks, shard))
+    place = np.empty(len(terms), dtype=np.int64)
+    place[order] = np.arange(len(terms))
+
+    # how often each document has each term, then each group
+    pairs = owner * len(terms) + place[codes]
+    pairs.sort()
+    first = runs_of(pairs)
+    often = np.diff(np.append(first, len(pairs)))
+    doc, term = np.divmod(pairs[first], len(terms))
+    langs = sorted({lang for lang, _ in groups})
+    names = sorted({source for _, source in groups})
+    lang_of = np.array([langs.index(lang) for lang, _ in groups])
+    known = {name: i for i, name in enumerate(names)}
+    source_of = np.array([known[source] for _, source in groups])
+    keys = (lang_of[doc] * len(terms) + term) * len(names) + source_of[doc]
+    by = np.argsort(keys, kind="stable")
+    keys, often = keys[by], often[by]
+    first = runs_of(keys)
+    n, docs = np.add.reduceat(often, first), np.diff(np.append(first, len(keys)))
+    term_keys, source = np.divmod(keys[first], len(names))
+    first = runs_of(term_keys)
+    ends, seen = np.append(first[1:], len(term_keys)), np.add.reduceat(docs, first)
+    lang, term = np.divmod(term_keys[first], len(terms))
+
+    rows = []
+    sliced = np.append(runs_of(lang * shards + shard[order[term]]), len(term))
+    for a, b in zip(sliced[:-1], sliced[1:]):
+        low, high = first[a], ends[b - 1]
+        used, codes = np.unique(source[low:high], return_inverse=True)
+        rows.append(
+            {
+                "shard": int(shard[order[term[a]]]), "run": run, "lang": langs[lang[a]],
+                "terms": terms.take(pa.array(order[term[a:b]])), "docs": seen[a:b], "ends": ends[a:b] - low,
+                "names": [names[i] for i in used], "sources": codes, "n": n[low:high],
+            }
+        )
+    return run_batch(rows)
 
 
-def terms_of(text: bytes, piece: int = PIECE_BYTES) -> Counter:
-    """How often each term occurs in a whole text; long texts are cut between terms."""
-    if len(text) <= piece:
-        return Counter(text.translate(_TO_TERMS).split())
-    clean, at, found = text.translate(_TO_TERMS), 0, Counter()
-    while at < len(clean):
-        end = clean.find(b" ", at + piece)
-        end = len(clean) if end < 0 else end
-        found.update(clean[at:end].split())
-        at = end
-    return found
-
-
-def _lists(offsets: list[int], values: list, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
-def run_batch(slices: list[tuple], run: int) -> pa.RecordBatch:
-    """RUNS for slices (shard, lang, entries), entries being (term, source, n, docs) in order."""
-    offsets = [0]
-    for _, _, entries in slices:
-        offsets.append(offsets[-1] + len(entries))
-    flat = [e for _, _, entries in slices for e in entries]
-    terms, sources, n, docs = zip(*flat) if flat else ((), (), (), ())
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([s for s, _, _ in slices], pa.int32()),
-            pa.array([run] * len(slices), pa.int64()),
-            pa.array([lang for _, lang, _ in slices], pa.string()),
-            _lists(offsets, terms, pa.binary()),
-            _lists(offsets, sources, pa.string()),
-            _lists(offsets, n, pa.int64()),
-            _lists(offsets, docs, pa.int64()),
-        ],
-        ["shard", "run", "lang", "terms", "sources", "n", "docs"],
-    )
-
-
-def spilled(held: dict, shards: int, run: int) -> pa.RecordBatch:
-    """The block `held` {(lang, source): {term: [n, docs] packed}} as slices in the order of terms."""
-    parts = defaultdict(list)
-    for (lang, source), terms in held.items():
-        for term, packed in terms.items():
-            parts[crc32(term) % shards, lang].append((term, source, packed >> 32, packed & 0xFFFFFFFF))
-    return run_batch([(shard, lang, sorted(entries)) for (shard, lang), entries in sorted(parts.items())], run)
-
-
-def index_runs(docs: DataFrame, shards: int, block: int = BLOCK_POSTINGS) -> DataFrame:
+def index_runs(docs: DataFrame, shards: int, block: int = BLOCK_BYTES) -> DataFrame:
     """Sorted runs of the postings of `docs` (lang, source, text), one for each full block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, int]] = defaultdict(dict)
-        number, size = TaskContext.get().partitionId() << 24, 0
+        texts, groups, size, number = [], [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")]):
-                terms = held[lang, source]
-                size -= len(terms)
-                for term, n in terms_of(text).items():
-                    terms[term] = terms.get(term, 0) + (n << 32) + 1
-                size += len(terms)
+                texts.append(text)
+                groups.append((lang, source))
+                size += len(text)
                 if size >= block:
-                    yield spilled(held, shards, number)
-                    held.clear()
-                    number, size = number + 1, 0
-        if size:
-            yield spilled(held, shards, number)
+                    if (found := spilled(texts, groups, shards, number)) is not None:
+                        yield found
+                    texts, groups, size, number = [], [], 0, number + 1
+        if texts and (found := spilled(texts, groups, shards, number)) is not None:
+            yield found
 
     return docs.select("lang", "source", F.col("text").cast("binary").alias("text")).mapInArrow(run, RUNS)
 
 
-def merged_entries(slices: list[tuple]) -> Iterator[tuple]:
-    """(term, source, n, docs) in order, equal ones summed, from sorted slices by a heap."""
-    for (term, source), same in groupby(heapq.merge(*(zip(*s) for s in slices)), key=itemgetter(0, 1)):
-        n = docs = 0
-        for _, _, more, seen in same:
-            n, docs = n + more, docs + seen
-        yield term, source, n, docs
+# --- merging runs -----------------------------------------------------------
+
 
+def merged(slices: list[dict], least: int) -> dict:
+    """Sorted slices of one language and shard merged by a heap; only terms in `least` documents or more stay.
 
-def _slices(table: pa.Table) -> dict[str, list[tuple]]:
-    """By language, the slices of a shard as four lists each."""
+    Returned in the form of a slice.
+    """
+    heads = [zip(s["terms"], s["docs"], repeat(r), count()) for r, s in enumerate(slices)]
+    terms, docs, run, at, number = [], [], [], [], []
+    for term, same in groupby(heapq.merge(*heads), key=itemgetter(0)):
+        same = list(same)
+        seen = sum(e[1] for e in same)
+        if seen >= least:
+            for _, _, r, i in same:
+                run.append(r)
+                at.append(i)
+                number.append(len(terms))
+            terms.append(term)
+            docs.append(seen)
+    names = sorted({name for s in slices for name in s["names"]})
+    known = {name: i for i, name in enumerate(names)}
+    source = np.concatenate([np.array([known[x] for x in s["names"]], dtype=np.int64)[s["sources"]] for s in slices])
+    n = np.concatenate([s["n"] for s in slices])
+    base = np.cumsum([0, *[len(s["terms"]) for s in slices]])
+    shift = np.cumsum([0, *[len(s["n"]) for s in slices]])
+    ends = np.concatenate([s["ends"] + shift[r] for r, s in enumerate(slices)])
+    # the postings of all kept entries, entry by entry
+    entry = base[np.array(run, dtype=np.int64)] + np.array(at, dtype=np.int64)
+    begins = np.append(0, ends)[entry]
+    lengths = ends[entry] - begins
+    which = np.repeat(begins - np.append(0, np.cumsum(lengths)[:-1]) if len(lengths) else begins, lengths) + np.arange(lengths.sum())
+    keys = np.repeat(np.array(number, dtype=np.int64), lengths) * max(len(names), 1) + source[which]
+    by = np.argsort(keys, kind="stable")
+    keys, n = keys[by], n[which][by]
+    first = runs_of(keys)
+    owner, source = np.divmod(keys[first], max(len(names), 1))
+    n = np.add.reduceat(n, first) if len(first) else n
+    return {
+        "terms": terms, "docs": docs, "ends": np.searchsorted(owner, np.arange(len(terms)), side="right"),
+        "names": names, "sources": source, "n": n,
+    }
+
+
+def _slices(table: pa.Table) -> dict[str, list[dict]]:
+    """By language, the slices of a shard: terms, documents and names as lists, the others as arrays."""
+    columns = {}
+    for name in _LISTS:
+        lists = table.column(name).combine_chunks()
+        values = lists.flatten()
+        edges = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        columns[name] = edges, values if name in ("terms", "docs", "names") else values.to_numpy(zero_copy_only=False)
     found = defaultdict(list)
-    for row in zip(*[table.column(c).to_pylist() for c in ("lang", "terms", "sources", "n", "docs")]):
-        found[row[0]].append(row[1:])
+    for i, lang in enumerate(table.column("lang").to_pylist()):
+        part = {name: values[edges[i] : edges[i + 1]] for name, (edges, values) in columns.items()}
+        found[lang].append({name: x.to_pylist() if isinstance(x, pa.Array) else x for name, x in part.items()})
     return found
 
 
@@ -140,14 +262,13 @@ def merge_round(runs: DataFrame, parts: int) -> DataFrame:
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         shard, part = (k.as_py() for k in key)
-        slices = [(shard, lang, list(merged_entries(own))) for lang, own in _slices(table).items()]
-        return pa.Table.from_batches([run_batch(slices, part)])
+        return pa.Table.from_batches([run_batch([merged(own, 0) | {"shard": shard, "run": part, "lang": lang} for lang, own in _slices(table).items()])])
 
     dealt = runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(parts)))
     return dealt.groupBy("shard", "part").applyInArrow(merge, RUNS)
 
 
-def term_frequencies(docs: DataFrame, min_docs: int, block: int = BLOCK_POSTINGS, fan_in: int = FAN_IN) -> DataFrame:
+def term_frequencies(docs: DataFrame, min_docs: int, block: int = BLOCK_BYTES, fan_in: int = FAN_IN) -> DataFrame:
     """TERMS: the terms in at least `min_docs` documents of a language, with their count in each source.
 
     `docs` has lang, source and text without nulls.  A term is in one shard, so
@@ -164,12 +285,12 @@ def term_frequencies(docs: DataFrame, min_docs: int, block: int = BLOCK_POSTINGS
     def merge(table: pa.Table) -> pa.Table:
         rows = []
         for lang, own in _slices(table).items():
-            for term, entries in groupby(merged_entries(own), key=itemgetter(0)):
-                entries = list(entries)
-                seen = sum(e[3] for e in entries)
-                if seen >= min_docs:
-                    n = [e[2] for e in entries]
-                    rows.append((lang, term, sum(n), seen, [e[1] for e in entries], n))
+            kept = merged(own, min_docs)
+            begin = 0
+            for term, seen, end in zip(kept["terms"], kept["docs"], kept["ends"].tolist()):
+                n = kept["n"][begin:end]
+                rows.append((lang, term, int(n.sum()), seen, [kept["names"][i] for i in kept["sources"][begin:end]], n.tolist()))
+                begin = end
         kinds = [pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
         columns = list(zip(*rows)) or [()] * 6
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "term", "total", "docs", "sources", "n"])
@@ -297,7 +418,7 @@ def source_divergence(
     text: str = "text",
     lang: str = "lang",
     source: str = "source",
-    block: int = BLOCK_POSTINGS,
+    block: int = BLOCK_BYTES,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): how the sources of each language differ in their terms.
