@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statewalk.sources.store import cut
@@ -48,6 +50,7 @@ def lookup_join(
     `many` does not move.  Otherwise both are shuffled.  If `many` has hot keys,
     their rows are spread over at least `salts` partitions, and over as many as
     keep `per_task` rows in each, with the matching row of `one` repeated there.
+    Rows with a NULL key are spread alike if they are many.
     Fewer than `limit` + rows / `per_task` keys can be hot.  The salt comes from
     the place of a row in a written table: equal rows are spread too, and a
     task that runs again gives the same.
@@ -65,9 +68,16 @@ def lookup_join(
     if found.isEmpty():
         return many.join(one, on, how)
     hot = F.broadcast(found)
+    absent = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    # rows without a key match nothing, so they only need spreading
+    apart = found.where(absent).agg(F.max("_salts")).first()[0] or 1
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_place")
     placed = cut(many).select("*", place)
-    salt = F.when(F.col("_salts").isNotNull(), F.pmod("_place", "_salts").cast("int")).otherwise(0)
+    salt = (
+        F.when(F.col("_salts").isNotNull(), F.pmod("_place", "_salts").cast("int"))
+        .when(absent, F.pmod("_place", F.lit(apart)).cast("int"))
+        .otherwise(0)
+    )
     spread = placed.join(hot, on, "left").withColumn("_salt", salt).drop("_salts", "_place")
     every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1))
     repeated = (

@@ -8,19 +8,36 @@ costs no more than the level in work.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from statewalk.functions.algebra import TRANSITIONS
 from statewalk.functions.successors import PackedKeys, TextKeys
-from statewalk.operators.joins import fits_broadcast, lookup_join
-from statewalk.sources.store import checkpointed, cut, write_bucketed
-
+from statewalk.operators.joins import BROADCAST_BYTES, lookup_join
+from statewalk.operators.numbering import numbered
+from statewalk.sources.store import (
+    add_bucketed,
+    bucketed_name,
+    checkpointed,
+    cut,
+    scratch_path,
+    scratch_scope,
+    write_bucketed,
+)
+
+#: A level of (node, place) pairs up to this many is broadcast: 16 bytes each.
 SMALL_LEVEL = 100_000
 EDGES_PER_SALT = 1_000_000
 EDGES_PER_BUCKET = 4_000_000
+#: Row groups of the edges, so that a level can skip most; ranges and single nodes that it asks for.
+GROUP_BYTES, GROUP_ROWS = 1 << 20, 10_000
+RANGES, FEW_NODES = 32, 32
+#: Levels of a directed search after which the visited nodes are written together again.
+COMPACT_EVERY = 64
 
 
 # --- one step ---------------------------------------------------------------
@@ -173,18 +190,31 @@ def bfs_states(
 # --- edge tables ------------------------------------------------------------
 
 
-class Adjacency:
-    """Distinct edges laid out once for all levels of a search.
+def node_numbers(pairs: DataFrame, seeds: DataFrame) -> DataFrame | None:
+    """(name, id): dense numbers of all nodes in the order of their names; None if names are integers already.
 
-    Rows are written in buckets of (src, salt), so a level shuffles its frontier,
-    never the edges.  A source with many edges gets one salt per
-    EDGES_PER_SALT of them, so no task holds a hub; the frontier row of a hub is
-    repeated once per salt.  Hubs are fewer than edges / EDGES_PER_SALT.
+    Numbers keep the order of names, so a search may compare them instead, its
+    edges are two bigints, and names are only joined to its result.
     """
+    if all(isinstance(f.dataType, (ByteType, ShortType, IntegerType, LongType)) for f in [*pairs.schema, *seeds.schema]):
+        return None
+    names = pairs.select(F.explode(F.array("src", "dst")).alias("name")).unionByName(seeds.select(F.col("node").alias("name")))
+    return cut(numbered(cut(names.distinct()), ["name"], "id"))
 
-    def __init__(self, edges: DataFrame, directed: bool, per_salt: int = EDGES_PER_SALT):
-        spark = edges.sparkSession
-        pairs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+
+class Adjacency:
+    """Distinct edges (src, dst), two bigints, laid out once for all levels of a search.
+
+    Rows are written in buckets of src, sorted, in small row groups.  A large
+    level is shuffled to the buckets and the edges never move.  A small one is
+    broadcast, and its ranges of nodes tell the scan which row groups, and for
+    a few nodes which buckets, to read at all.  A source with many edges gets one
+    salt per EDGES_PER_SALT of them, so no task holds a hub; the frontier row of
+    a hub is repeated once per salt.  Hubs are fewer than edges / EDGES_PER_SALT.
+    """
+
+    def __init__(self, pairs: DataFrame, directed: bool, per_salt: int = EDGES_PER_SALT):
+        spark = pairs.sparkSession
         edges = pairs
         if not directed:
             # a pair given both ways comes out twice here, which changes no level
@@ -196,31 +226,143 @@ class Adjacency:
             .select("src", F.ceil(F.col("n") / per_salt).cast("int").alias("n_salts"))
         )
         self.n_hubs = self.hubs.count()
+        self.on = ["src"]
         if self.n_hubs:
             self.hubs = cut(self.hubs)
-        salt = F.lit(0)
-        if self.n_hubs:
+            self.on = ["src", "salt"]
             edges = lookup_join(edges, self.hubs, "src", "left", small=self.n_hubs <= SMALL_LEVEL)
-            salt = F.when(
-                F.col("n_salts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("n_salts")).cast("int")
-            ).otherwise(0)
-        n_edges = pairs.count() * (1 if directed else 2)
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // EDGES_PER_BUCKET))
-        laid_out = edges.select("src", salt.alias("salt"), "dst")
-        self.edges = write_bucketed(laid_out, ["src", "salt"], parts)
-
-    def neighbours(self, frontier: DataFrame, size: int) -> DataFrame:
-        """(node, parent) for every edge that leaves the frontier (node)."""
-        nodes = frontier.select(F.col("node").alias("src"))
-        if size <= SMALL_LEVEL and fits_broadcast(nodes):
-            reached = self.edges.join(F.broadcast(nodes), "src")
+            salt = F.when(F.col("n_salts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("n_salts")).cast("int")).otherwise(0)
+            edges = edges.withColumn("salt", salt)
+        size = pairs.agg(F.count(F.lit(1)), F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+        self.low, self.high = size[1] or 0, (size[2] or 0) + 1
+        n_edges = size[0] * (1 if directed else 2)
+        self.buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_edges // EDGES_PER_BUCKET))
+        self.edges = write_bucketed(edges.select(*self.on, "dst"), self.on, self.buckets, GROUP_BYTES, GROUP_ROWS)
+
+    def near(self, level: Level) -> DataFrame:
+        """The edges that a small level can reach, by filters that reach the scan."""
+        if level.nodes is not None:
+            return self.edges.where(F.col("src").isin(level.nodes))
+        return self.edges.where(reduce(Column.__or__, [F.col("src").between(a, b) for a, b in level.ranges]))
+
+    def neighbours(self, level: Level) -> DataFrame:
+        """(node, parent) for every edge that leaves the level; parent is the place of its node."""
+        nodes = level.rows.select(F.col("node").alias("src"), "place")
+        if level.size <= SMALL_LEVEL:
+            reached = self.near(level).join(F.broadcast(nodes), "src")
         else:
-            salts = F.array(F.lit(0))
             if self.n_hubs:
                 nodes = lookup_join(nodes, self.hubs, "src", "left", small=self.n_hubs <= SMALL_LEVEL)
                 salts = F.sequence(F.lit(0), F.coalesce(F.col("n_salts"), F.lit(1)) - 1)
-            reached = self.edges.join(nodes.select("src", F.explode(salts).alias("salt")), ["src", "salt"])
-        return reached.select(F.col("dst").alias("node"), F.col("src").alias("parent"))
+                nodes = nodes.select("src", "place", F.explode(salts).alias("salt"))
+            reached = self.edges.join(nodes, self.on)
+        return reached.select(F.col("dst").alias("node"), F.col("place").alias("parent"))
+
+
+@dataclass
+class Level:
+    """A written level: `rows` (node, parent, place), how many, and where its nodes lie.
+
+    `nodes` names them if they are few; `ranges` are at most RANGES spans that hold them all.
+    """
+
+    rows: DataFrame
+    size: int
+    ranges: list[tuple[int, int]]
+    nodes: list[int] | None
+
+
+class Forest:
+    """The levels of a search, each a written folder of (node, parent).
+
+    `place` numbers all nodes in the order they are found: levels one after the
+    other, within a level by the place of the parent, then by node.  That is the
+    order of the paths as arrays, so the least place of a predecessor gives the
+    smallest path, and a node and its parent's place are all that a level carries.
+    The places of a small level follow from its rows; a large one is sorted by
+    range and numbered from the counts of its partitions.
+    """
+
+    def __init__(self, spark: SparkSession, low: int, high: int):
+        self.spark, self.low, self.high = spark, low, high
+        self.small, self.large = scratch_path(spark, "levels"), scratch_path(spark, "large-levels")
+        self.sizes: list[int] = []
+        self.bases: list[int] = []
+
+    def add(self, found: DataFrame) -> Level:
+        distance, base = len(self.sizes), sum(self.sizes)
+        place = f"{self.small}/distance={distance}"
+        found.select("node", "parent").write.option("parquet.block.size", GROUP_BYTES).parquet(place)
+        rows = self.spark.read.schema("node bigint, parent bigint").parquet(place)
+        part = F.width_bucket(F.col("node").cast("double"), F.lit(float(self.low)), F.lit(float(self.high)), F.lit(RANGES))
+        spans = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).collect()
+        size = sum(r["n"] for r in spans)
+        self.sizes.append(size)
+        self.bases.append(base)
+        if size <= SMALL_LEVEL:
+            order = Window.partitionBy(F.lit(0)).orderBy("parent", "node")
+            ranked = rows.withColumn("place", F.row_number().over(order) + F.lit(base - 1).cast("bigint"))
+        else:
+            numbered(rows, ["parent", "node"], "place", base).write.parquet(f"{self.large}/distance={distance}")
+            ranked = self.spark.read.schema("node bigint, parent bigint, place bigint").parquet(f"{self.large}/distance={distance}")
+        few = [r["node"] for r in rows.select("node").collect()] if 0 < size <= FEW_NODES else None
+        return Level(ranked, size, [(r["a"], r["b"]) for r in spans], few)
+
+    def rows(self) -> DataFrame:
+        """(node, parent, place, distance) of all levels, from one scan of the small and one of the large."""
+        levels = [(d, base, size > SMALL_LEVEL) for d, (base, size) in enumerate(zip(self.bases, self.sizes)) if size]
+        fields = "node bigint, parent bigint, distance int"
+        if not levels:
+            return self.spark.createDataFrame([], "node bigint, parent bigint, place bigint, distance int")
+        out = []
+        if any(not large for _, _, large in levels):
+            bases = self.spark.createDataFrame([(d, b) for d, b, large in levels if not large], "distance int, base bigint")
+            small = self.spark.read.schema(fields).parquet(self.small).join(F.broadcast(bases), "distance")
+            order = Window.partitionBy("distance").orderBy("parent", "node")
+            out.append(small.select("node", "parent", (F.row_number().over(order) - 1 + F.col("base")).alias("place"), "distance"))
+        if any(large for _, _, large in levels):
+            schema = "node bigint, parent bigint, place bigint, distance int"
+            out.append(self.spark.read.schema(schema).parquet(self.large).select("node", "parent", "place", "distance"))
+        return union_all(out)
+
+
+class Visited:
+    """The nodes of a directed search in buckets, so that only candidates move to be compared with them."""
+
+    def __init__(self, spark: SparkSession, buckets: int):
+        self.spark, self.buckets, self.parts, self.name = spark, buckets, 0, None
+
+    def append(self, nodes: DataFrame) -> None:
+        """Adds the nodes as further files of the buckets; many small ones are written together again."""
+        if self.parts and self.parts % COMPACT_EVERY == 0:
+            nodes = nodes.unionByName(self.spark.table(self.name))
+            self.name = None
+        if self.name is None:
+            self.name = bucketed_name(self.spark)
+        add_bucketed(nodes, self.name, ["node"], self.buckets)
+        self.parts += 1
+
+    def without(self, found: DataFrame) -> DataFrame:
+        return found.join(self.spark.table(self.name), "node", "left_anti")
+
+
+def assembled(rows: DataFrame, depth: int, small: Callable[[int], bool]) -> DataFrame:
+    """(node, distance, path) from `rows` (place, parent, node, distance) by pointer jumping.
+
+    Every row holds the last nodes of its path and the place before them; a round
+    puts the row of that place in front, which doubles what is known, so the
+    logarithm of the depth is enough rounds.  Finished rows take no part.
+    `small(n)` tells whether rows with n nodes each can be broadcast.
+    """
+    rows = rows.select("place", F.col("parent").alias("jump"), F.array("node").alias("path"), "node", "distance")
+    for done in range(depth.bit_length()):
+        rows = cut(rows)
+        ahead = rows.select(F.col("place").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("before"))
+        moved = lookup_join(rows.where("jump is not null"), ahead, "jump", small=small(1 << done)).select(
+            "place", F.col("next").alias("jump"), F.concat("before", "path").alias("path"), "node", "distance"
+        )
+        rows = rows.where("jump is null").unionByName(moved)
+    return rows.select("node", "distance", "path")
 
 
 def bfs_paths(
@@ -233,42 +375,47 @@ def bfs_paths(
     """Shortest paths over an edge table (src, dst) from the seeds (node).
 
     Runs until a level finds nothing new, or for `max_depth` levels.  Returns
-    node, distance, path (seed ... node): each reached node once, with its least
-    distance.  Among equally short ways the smallest predecessor wins
-    at every step, so only (node, parent) pairs are shuffled per edge and a path
-    is built once per node, not once per edge.
+    node, distance, path (seed ... node): each reached node once, with the smallest
+    of its shortest paths, compared node by node.  Levels work on numbers of the
+    nodes and carry no paths; what they wrote is dropped once the result is.
     """
-    graph = Adjacency(edges, directed, per_salt)
-    level = cut(
-        seeds.select("node")
-        .where("node is not null")
-        .distinct()
-        .select("node", F.array("node").alias("path"))
-    )
-    levels, sizes = [level], [level.count()]
-    while sizes[-1] and (max_depth is None or len(levels) <= max_depth):
-        back = len(levels) if directed else 2
-        found = dedupe_new(
-            graph.neighbours(level, sizes[-1]),
-            union_all([rows.select("node") for rows in levels[-back:]]),
-            "node",
-            F.min("parent").alias("parent"),
-        )
-        parents = level.select(F.col("node").alias("parent"), "path")
-        small = sizes[-1] <= SMALL_LEVEL and fits_broadcast(parents)
-        if not small:
-            found = cut(found)  # read twice below: hot parents are counted first
-        found = lookup_join(found, parents, "parent", small=small)
-        level = cut(found.select("node", F.array_append("path", F.col("node")).alias("path")))
-        levels.append(level)
-        sizes.append(level.count())
-    return union_all(
-        [
-            rows.select("node", F.lit(distance).alias("distance"), "path")
-            for distance, rows in enumerate(levels)
-            if sizes[distance] or not distance
-        ]
-    )
+    spark = edges.sparkSession
+    with scratch_scope(spark) as scope:
+        pairs = cut(edges.select("src", "dst").where("src <> dst").distinct())
+        starts = cut(seeds.select("node").where("node is not null").distinct())
+        kind = starts.schema["node"].dataType
+        names = node_numbers(pairs, starts)
+        width, few_names = 8, True
+        if names is None:
+            pairs = pairs.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+            starts = starts.select(F.col("node").cast("bigint").alias("node"))
+        else:
+            measured = names.agg(F.count(F.lit(1)), F.max(F.octet_length(F.col("name").cast("string")))).first()
+            width = measured[1] or 0
+            few_names = measured[0] * (width + 64) <= BROADCAST_BYTES
+            number = lambda df, c: lookup_join(df.withColumnRenamed(c, "name"), names, "name", small=few_names).drop("name").withColumnRenamed("id", c)
+            pairs = cut(number(number(pairs, "src"), "dst").select("src", "dst"))
+            starts = number(starts, "node")
+        graph = Adjacency(pairs, directed, per_salt)
+        forest = Forest(spark, graph.low, graph.high)
+        levels = [forest.add(starts.select("node", F.lit(None).cast("bigint").alias("parent")))]
+        visited = Visited(spark, graph.buckets)
+        while levels[-1].size and (max_depth is None or len(forest.sizes) <= max_depth):
+            candidates = graph.neighbours(levels[-1])
+            if directed:
+                visited.append(levels[-1].rows.select("node"))
+                found = visited.without(candidates.groupBy("node").agg(F.min("parent").alias("parent")))
+            else:
+                old = union_all([level.rows.select("node") for level in levels])
+                found = dedupe_new(candidates, old, "node", F.min("parent").alias("parent"))
+            levels = [levels[-1], forest.add(found)]
+        total, depth = sum(forest.sizes), max([d for d, n in enumerate(forest.sizes) if n], default=0)
+        rows = forest.rows()
+        if names is None:
+            rows = rows.withColumn("node", F.col("node").cast(kind))
+        else:
+            rows = lookup_join(rows.withColumnRenamed("node", "id"), names, "id", small=few_names).withColumnRenamed("name", "node")
+        return scope.keep(assembled(rows, depth, lambda n: total * (n * (width + 16) + 64) <= BROADCAST_BYTES))
 
 
 def expand_n(edges: DataFrame, seeds: DataFrame, passes: int, directed: bool = False) -> DataFrame:

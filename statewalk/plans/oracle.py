@@ -172,10 +172,10 @@ seen(node, path, d, round) AS (
   UNION ALL
   SELECT * FROM (
     WITH fresh AS (
-      SELECT e.dst AS node, min(e.src) AS parent FROM seen s JOIN e ON e.src = s.node
+      SELECT e.dst AS node, min(s.path) AS before FROM seen s JOIN e ON e.src = s.node
       WHERE {cap}s.d = s.round AND e.dst NOT IN (SELECT node FROM seen) GROUP BY e.dst
     )
-    SELECT f.node, list_append(s.path, f.node), s.d + 1, s.round + 1 FROM fresh f JOIN seen s ON s.node = f.parent
+    SELECT node, list_append(before, node), len(before), len(before) FROM fresh
     UNION ALL
     SELECT node, path, d, round + 1 FROM seen WHERE EXISTS (SELECT 1 FROM fresh)
   )

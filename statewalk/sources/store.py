@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,22 +58,84 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_bucketed(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
-    """Write `df` in buckets of `columns`; a join on them reads it unshuffled."""
-    spark = df.sparkSession
+def bucketed_name(spark: SparkSession) -> str:
+    """The name of a bucketed table yet to be written; the scope in force drops it."""
     name = f"bucketed_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, *columns)
-        .write.bucketBy(buckets, *columns)
-        .sortBy(*columns)
-        .option("path", scratch_path(spark, name))
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    if scopes := _scopes.get(spark.sparkContext.applicationId):
+        scopes[-1].tables.append(name)
+    return name
+
+
+def add_bucketed(df: DataFrame, name: str, columns: list[str], buckets: int, group_bytes: int | None = None, group_rows: int | None = None) -> None:
+    """Write `df` in sorted buckets of `columns`, as further files if the table is there."""
+    spark = df.sparkSession
+    writer = df.repartition(buckets, *columns).write.mode("append").bucketBy(buckets, *columns).sortBy(*columns)
+    if group_bytes:
+        writer = writer.option("parquet.block.size", group_bytes)
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
+    if not spark.catalog.tableExists(name):
+        writer = writer.option("path", scratch_path(spark, name))
+    writer.saveAsTable(name)
+
+
+def write_bucketed(df: DataFrame, columns: list[str], buckets: int, group_bytes: int | None = None, group_rows: int | None = None) -> DataFrame:
+    """Write `df` in buckets of `columns`; a join on them reads it unshuffled."""
+    name = bucketed_name(df.sparkSession)
+    add_bucketed(df, name, columns, buckets, group_bytes, group_rows)
+    return df.sparkSession.table(name)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; the scope in force owns it."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if scopes := _scopes.get(spark.sparkContext.applicationId):
+        scopes[-1].folders.append(folder)
+    return folder
+
+
+class Scope:
+    """Folders and tables written while the scope is in force; all but what is kept go at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders, self.tables = spark, [], []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write the rows so that they outlive the scope."""
+        kept = cut(df)
+        scopes = _scopes[self.spark.sparkContext.applicationId]
+        folder = self.folders.pop()
+        if len(scopes) > 1:
+            scopes[-2].folders.append(folder)
+        return kept
+
+    def drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for folder in self.folders:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+_scopes: dict[str, list[Scope]] = {}
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
+    """A scope that drops what is written within it; results go out by its `keep`.
+
+    Only for work whose result depends on nothing else that was written.
+    Scopes nest; what an inner one keeps belongs to the outer one.
+    """
+    stack = _scopes.setdefault(spark.sparkContext.applicationId, [])
+    scope = Scope(spark)
+    stack.append(scope)
+    try:
+        yield scope
+    finally:
+        stack.remove(scope)
+        scope.drop()
 
 
 def save_paths(paths: DataFrame, location: str, sep: str = " ") -> None:

@@ -36,7 +36,7 @@ def arrays(row):
 
 
 def bfs(edges, seeds, cap, directed):
-    """node -> (distance, path) with the smallest predecessor at every step."""
+    """node -> (distance, path) with the smallest of the shortest paths."""
     out = {}
     for a, b in edges:
         out.setdefault(a, set()).add(b)
@@ -46,7 +46,7 @@ def bfs(edges, seeds, cap, directed):
     level = sorted(found)
     for distance in range(1, cap + 1):
         new = {}
-        for node in sorted(level):
+        for node in sorted(level, key=lambda n: found[n][1]):
             for nxt in out.get(node, ()):
                 if nxt not in found and nxt not in new:
                     new[nxt] = (distance, found[node][1] + [nxt])
