@@ -11,8 +11,8 @@ anywhere else.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,9 @@ from statewalk.sources.store import cut
 GRAM = 32
 #: Bytes that a task indexes at once; groups of one anchor are kept together.
 CHUNK_BYTES = 1 << 21
-#: An anchor with more stretches than this is dealt over several indexes.
+#: An anchor with more stretches than this is indexed in chunks, and the rest dealt by further anchors.
 HOT_STRETCHES = 2048
+FURTHER_ANCHORS = 8
 #: Strings after which a stretch ends at the next place of its anchor.
 STRETCH_STRINGS = 1024
 SEPARATOR = 0xFF  # no byte of UTF-8
@@ -107,10 +108,11 @@ class RunLengthIndex:
     Order and matches are exact up to `depth` bytes.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
-        self.n, self.depth = len(text), depth
+    def __init__(self, text: np.ndarray, depth: int, length: int = 8):
+        self.n, self.depth, self.length = len(text), depth, length
         self.words = _packed(text)
-        order = _suffix_order(self.words, self.n, depth)
+        self.known = 8 << max(0, (length // 8).bit_length() - 1)
+        order, self.ranks = _suffix_order(self.words, self.n, depth, self.known)
         # a stretch begins a run of its own, so no sample is carried over from the one before
         before = text[order - 1].astype(np.int64)
         before = np.where((order == 0) | (before == SEPARATOR), -1 - order, before)
@@ -142,6 +144,14 @@ class RunLengthIndex:
         """For every place the longest match that starts elsewhere, streamed left to right."""
         return np.maximum(self._stream(self.heads, self.head_match), self._stream(self.tails, self.tail_match))
 
+    def classes(self, at: np.ndarray) -> np.ndarray:
+        """Numbers of the strings of `length` bytes at these places: equal for equal strings."""
+        if self.length < 8:
+            keys = self.words[at] >> np.uint64(64 - 8 * self.length)
+        else:  # the first and the last bytes, which overlap
+            keys = self.ranks[at] * (self.n + 2) + self.ranks[at + self.length - self.known]
+        return np.unique(keys, return_inverse=True)[1]
+
     def _stream(self, rows: np.ndarray, match: np.ndarray) -> np.ndarray:
         places = np.arange(self.n)
         sample = np.zeros(self.n, dtype=np.int64)
@@ -158,11 +168,14 @@ def _leading_zero_bytes(words: np.ndarray) -> np.ndarray:
     return found
 
 
-def _suffix_order(words: np.ndarray, n: int, depth: int) -> np.ndarray:
+def _suffix_order(words: np.ndarray, n: int, depth: int, ranks_at: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of their suffixes, exact up to `depth` bytes, by doubling.
 
-    Rounds after the first only touch suffixes that are still tied.
+    Rounds after the first only touch suffixes that are still tied.  The second
+    array ranks the places by their first `ranks_at` bytes, eight times a power
+    of two: equal ranks are equal bytes.
     """
+    ranks = None
     order = np.argsort(words[:n], kind="stable")
     rank = np.empty(n + 1, dtype=np.int64)
     rank[n] = -1
@@ -175,8 +188,10 @@ def _suffix_order(words: np.ndarray, n: int, depth: int) -> np.ndarray:
         rank[order[tied]] = group
         more = ~new | np.concatenate([~new[1:], [False]])
         tied = tied[more]
+        if ranks is None and (width >= ranks_at or not len(tied)):
+            ranks = rank.copy()
         if width >= depth or not len(tied):
-            return order
+            return order, ranks
         places = order[tied]
         keys = rank[places] * (n + 2) + rank[np.minimum(places + width, n)] + 1
         by = np.argsort(keys, kind="stable")
@@ -195,17 +210,19 @@ def _packed(text: np.ndarray) -> np.ndarray:
     return words
 
 
-def repeated_strings(parts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
-    """For each stretch, which of its strings of `length` bytes start anywhere else among the stretches."""
+def index_of(parts: list[bytes], length: int) -> tuple[RunLengthIndex, list[int]]:
+    """One index over stretches, and where each starts in it."""
     separator = bytes([SEPARATOR])
     text = np.frombuffer(separator.join(parts) + separator, dtype=np.uint8)
-    index = RunLengthIndex(text, max(map(len, parts)) + 1)
+    begins = np.cumsum([0, *[len(p) + 1 for p in parts[:-1]]]).tolist()
+    return RunLengthIndex(text, max(map(len, parts)) + 1, length), begins
+
+
+def repeated_strings(parts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
+    """For each stretch, which of its strings of `length` bytes start anywhere else among the stretches."""
+    index, begins = index_of(parts, length)
     long = index.matching_statistics() >= length
-    found, at = [], 0
-    for part, count in zip(parts, counts):
-        found.append(long[at : at + count])
-        at += len(part) + 1
-    return found
+    return [long[at : at + count] for at, count in zip(begins, counts)]
 
 
 def spans_of(repeated: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
@@ -220,9 +237,6 @@ def spans_of(repeated: np.ndarray, start: int, length: int) -> list[tuple[int, i
 
 # --- on tables --------------------------------------------------------------
 
-SPANS = ["k1", "k2", "begin", "end"]
-
-
 def text_keys(text: Column) -> list[Column]:
     """120 bits of the MD5 of a text, as two numbers: equal texts are one."""
     digest = F.md5(text)
@@ -288,82 +302,205 @@ def stretch_texts(suspects: DataFrame, length: int) -> DataFrame:
     )
 
 
-FOUND = "k1 bigint, k2 bigint, begin bigint, end bigint, w1 bigint, w2 bigint, c bigint"
-
+COVERED = "k1 bigint, k2 bigint, begin bigint, end bigint"
+STRETCH = "anchor bigint, k1 bigint, k2 bigint, start bigint, n bigint, part binary"
+#: Rows of a chunk of a hot anchor: spans, stretches of strings alone in it, one of each of the others, grams.
+SPAN, ALONE, SHOWN, GRAMS = range(4)
+CHUNK = f"kind int, salt int, grams array<bigint>, end bigint, {STRETCH}"
 
-def chunk_rows(held: list[tuple], length: int) -> pa.RecordBatch:
-    """Rows of FOUND for stretches (k1, k2, start, n, shared, part) that one index takes.
 
-    Equal parts enter the index once; all their strings are repeated.  If a
-    stretch is `shared`, other chunks hold stretches of the same anchor: then its
-    strings that are alone in this chunk are given by their hashes, c = 1, and
-    each of the others once, c = 2.
-    """
+def held_parts(rows: list[tuple]) -> dict[bytes, list[tuple]]:
+    """Rows (k1, k2, start, n, part) by their part: equal parts enter an index once."""
     owners: dict[bytes, list[tuple]] = {}
-    for row in held:
+    for row in rows:
         owners.setdefault(row[-1], []).append(row)
+    return owners
+
+
+def chunk_rows(held: list[tuple], length: int) -> pa.RecordBatch:
+    """COVERED for stretches (k1, k2, start, n, part) that one index takes; all strings of equal parts are repeated."""
+    owners = held_parts(held)
     marks = repeated_strings(list(owners), [rows[0][3] for rows in owners.values()], length)
-    spans, alone, others = [], [], []
-    for (part, rows), mark in zip(owners.items(), marks):
-        k1, k2, start, n, shared, _ = rows[0]
+    spans = []
+    for rows, mark in zip(owners.values(), marks):
         if len(rows) > 1:
-            mark = np.ones(n, dtype=bool)
-        for row in rows:
-            spans.extend((*row[:2], a, b, None, None, None) for a, b in spans_of(mark, row[2], length))
-        if shared:
-            data = np.frombuffer(part, dtype=np.uint8)
-            w1, w2 = gram_hashes(data, length).view(np.int64), gram_hashes(data, length, seed=7).view(np.int64)
-            for i in np.nonzero(~mark)[0].tolist():
-                alone.append((k1, k2, start + i, start + i + length, int(w1[i]), int(w2[i]), 1))
-            others.append(np.stack([w1[mark], w2[mark]], axis=1))
-    if others:
-        seen = np.unique(np.concatenate(others), axis=0)
-        spans.extend((None, None, None, None, u, v, 2) for u, v in seen.tolist())
-    columns = list(zip(*(spans + alone))) or [()] * 7
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "begin", "end", "w1", "w2", "c"]
-    )
+            mark = np.ones(len(mark), dtype=bool)
+        for k1, k2, start, _, _ in rows:
+            spans.extend((k1, k2, a, b) for a, b in spans_of(mark, start, length))
+    columns = list(zip(*spans)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k1", "k2", "begin", "end"])
 
 
 def indexed(parts: DataFrame, length: int) -> DataFrame:
-    """FOUND by run-length indexes over the stretches of whole groups (anchor, salt)."""
-    group = ["anchor", "salt"]
+    """COVERED by run-length indexes over the stretches of whole anchors, several to an index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            names = (*group, "k1", "k2", "start", "n", "shared", "part")
-            for row in zip(*[batch.column(c).to_pylist() for c in names]):
-                key, row = row[: len(group)], row[len(group) :]
-                if key != last and size >= CHUNK_BYTES:
+            for anchor, *row in zip(*[batch.column(c).to_pylist() for c in ("anchor", "k1", "k2", "start", "n", "part")]):
+                if anchor != last and size >= CHUNK_BYTES:
                     yield chunk_rows(held, length)
                     held, size = [], 0
-                last = key
-                held.append(row)
+                last = anchor
+                held.append(tuple(row))
                 size += len(row[-1])
         if held:
             yield chunk_rows(held, length)
 
-    return parts.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, FOUND)
+    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, COVERED)
+
+
+# --- anchors with too many stretches for one index --------------------------
+
+
+def string_keys(data: np.ndarray, length: int, seed: int = 0, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of `length` bytes the hash of its least gram, of those allowed, and whether it has one."""
+    hashes = gram_hashes(data, min(GRAM, length), seed)
+    ranked = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    none = np.iinfo(np.uint64).max
+    if allowed is not None:
+        ranked = np.where(allowed, ranked, none)
+    least = sliding_least(ranked, length - min(GRAM, length) + 1)
+    has = least != none
+    return np.where(has, hashes[np.where(has, least & np.uint64(0xFFFFFFFF), 0).astype(np.int64)], 0), has
+
 
+def further(anchor: int, keys: np.ndarray, seed: int) -> np.ndarray:
+    """An anchor and a further one as one number."""
+    both = _join(np.full(len(keys), anchor, dtype=np.int64).view(np.uint64) + np.uint64(seed), keys)
+    return both.view(np.int64)
 
-def covered_spans(parts: DataFrame, length: int) -> DataFrame:
-    """(k1, k2, begin, end): covered bytes of the stretches in `parts`.
 
-    The stretches of an anchor are dealt over as many groups as its count asks
-    for, mostly one, and each group is indexed whole.  Where there are several,
-    strings that are alone in their group are compared between groups, by two
-    64-bit hashes.
+def sub_stretches(part: bytes, start: int, chosen: np.ndarray, anchors: np.ndarray, length: int) -> Iterator[tuple]:
+    """(anchor, start, n, part) for the successive chosen strings with one anchor."""
+    new = np.concatenate([[True], (anchors[1:] != anchors[:-1]) | (chosen[1:] != chosen[:-1])])
+    first = np.nonzero(new)[0]
+    for a, b in zip(first, np.append(first[1:], len(chosen))):
+        if chosen[a]:
+            yield int(anchors[a]), start + int(a), int(b - a), part[a : b - 1 + length]
+
+
+def chunk_of_hot(parts: DataFrame, length: int, seed: int) -> DataFrame:
+    """CHUNK: hot anchors indexed in chunks of HOT_STRETCHES stretches.
+
+    Strings found twice in a chunk are done, and one of each goes on to meet its
+    like in other chunks; strings alone in it go on as stretches, not one by one.
     """
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        anchor, salt = (k.as_py() for k in key)
+        owners = held_parts(list(zip(*[table.column(c).to_pylist() for c in ("k1", "k2", "start", "n", "part")])))
+        index, begins = index_of(list(owners), length)
+        long = index.matching_statistics() >= length
+        rows, grams, shown = [], [], []
+        for (part, own), at in zip(owners.items(), begins):
+            n = own[0][3]
+            mark = long[at : at + n] | (len(own) > 1)
+            for k1, k2, start, _, _ in own:
+                rows.extend((SPAN, salt, None, b, anchor, k1, k2, a, None, None) for a, b in spans_of(mark, start, length))
+            k1, k2, start, _, _ = own[0]
+            alone = sub_stretches(part, start, ~mark, np.zeros(n, dtype=np.int64), length)
+            rows.extend((ALONE, salt, None, None, anchor, k1, k2, a, m, piece) for _, a, m, piece in alone)
+            shown.append(at + np.nonzero(mark)[0])
+            hashes = gram_hashes(np.frombuffer(part, dtype=np.uint8), min(GRAM, length)).view(np.int64)
+            grams.append(np.repeat(hashes, 2) if len(own) > 1 else hashes)
+        # the first of each class of equal strings stands for it
+        places = np.concatenate(shown)
+        firsts = np.zeros(index.n, dtype=bool)
+        firsts[places[np.unique(index.classes(places), return_index=True)[1]]] = True
+        for (part, own), at in zip(owners.items(), begins):
+            k1, k2, start, n, _ = own[0]
+            chosen = firsts[at : at + n]
+            if chosen.any():
+                keys, _ = string_keys(np.frombuffer(part, dtype=np.uint8), length, seed)
+                found = sub_stretches(part, start, chosen, further(anchor, keys, seed), length)
+                rows.extend((SHOWN, salt, None, None, x, k1, k2, a, m, piece) for x, a, m, piece in found)
+        values, often = np.unique(np.concatenate(grams), return_counts=True)
+        rows.append((GRAMS, salt, values[often > 1].tolist(), None, anchor, None, None, None, None, None))
+        return _table(rows, CHUNK)
+
     salts = F.ceil(F.col("c") / F.lit(HOT_STRETCHES))
-    salt = F.pmod(F.xxhash64("k1", "k2", "start"), salts).alias("salt")
-    dealt = parts.select("anchor", salt, "k1", "k2", "start", "n", (salts > 1).alias("shared"), "part")
-    found = cut(indexed(dealt, length))
-    strings = found.where("w1 is not null")
-    twice = strings.groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2")
-    across = strings.where("c = 1").join(twice, ["w1", "w2"], "left_semi")
-    return found.where("w1 is null").select(*SPANS).unionByName(across.select(*SPANS))
+    salt = F.pmod(F.xxhash64("k1", "k2", "start", F.lit(seed)), salts).cast("int").alias("salt")
+    return parts.select("anchor", salt, "k1", "k2", "start", "n", "part").groupBy("anchor", "salt").applyInArrow(run, CHUNK)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [field.split() for field in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.table([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
+def dealt_further(chunks: DataFrame, length: int, seed: int) -> DataFrame:
+    """STRETCH for what the chunks could not settle, under further anchors; equal strings still have equal ones.
+
+    A string with a gram that no chunk holds twice goes by the least such gram,
+    which stands at most once in each chunk; that parts near copies, whose
+    common grams are many.  Any other goes by the least gram of another hash,
+    like the strings that stand for those found twice: these hold no such gram.
+    """
+    grams = chunks.where(F.col("kind") == GRAMS)
+    often = grams.select("anchor", F.explode("grams").alias("gram")).groupBy("anchor").agg(F.collect_set("gram").alias("grams"))
+    right = grams.select("anchor", "salt").join(often, "anchor", "left").select(*[F.col(c).alias(c) for c in ("anchor", "salt", "grams")])
+    left = chunks.where(F.col("kind") == ALONE).select("anchor", "salt", "k1", "k2", "start", "n", "part")
+
+    def run(key: tuple, alone: pa.Table, known: pa.Table) -> pa.Table:
+        anchor = key[0].as_py()
+        common = np.array(known.column("grams").to_pylist()[0] or [], dtype=np.int64)
+        rows = []
+        for k1, k2, start, _, part in zip(*[alone.column(c).to_pylist() for c in ("k1", "k2", "start", "n", "part")]):
+            data = np.frombuffer(part, dtype=np.uint8)
+            hashes = gram_hashes(data, min(GRAM, length)).view(np.int64)
+            rare, has = string_keys(data, length, allowed=~np.isin(hashes, common))
+            other, _ = string_keys(data, length, seed)
+            anchors = np.where(has, further(anchor, rare, 0), further(anchor, other, seed))
+            rows.extend((x, k1, k2, a, m, piece) for x, a, m, piece in sub_stretches(part, start, np.ones(len(has), dtype=bool), anchors, length))
+        return _table(rows, STRETCH)
+
+    dealt = left.groupBy("anchor", "salt").cogroup(right.groupBy("anchor", "salt")).applyInArrow(run, STRETCH)
+    shown = chunks.where(F.col("kind") == SHOWN).select("anchor", "k1", "k2", "start", "n", "part")
+    return dealt.unionByName(shown)
+
+
+def equal_strings(parts: DataFrame, length: int) -> DataFrame:
+    """COVERED by comparing whole strings, one row each: for what no further anchor parts."""
+    each = parts.select("k1", "k2", "start", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    each = each.select("k1", "k2", (F.col("start") + F.col("i")).alias("begin"), F.expr(f"substring(part, cast(i as int) + 1, {length})").alias("bytes"))
+    each = cut(each.distinct())
+    again = each.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bytes")
+    return each.join(again, "bytes").select("k1", "k2", "begin", (F.col("begin") + length).alias("end"))
+
+
+def hot_spans(parts: DataFrame, length: int, rounds: int = FURTHER_ANCHORS) -> DataFrame:
+    """COVERED for stretches (STRETCH and c, the stretches of the anchor) of hot anchors.
+
+    Each round indexes chunks of a hot anchor and deals what is left by a further
+    anchor; a group that fits one index is then indexed whole.
+    """
+    hot, spans = cut(parts), []
+    for seed in range(1, rounds + 1):
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, spans)
+        chunks = cut(chunk_of_hot(hot, length, seed))
+        spans.append(chunks.where(F.col("kind") == SPAN).select("k1", "k2", F.col("start").alias("begin"), "end"))
+        left = cut(dealt_further(chunks, length, seed))
+        counts = left.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        left = cut(left.join(counts, "anchor"))
+        spans.append(cut(indexed(left.where(F.col("c") <= HOT_STRETCHES), length)))
+        hot = left.where(F.col("c") > HOT_STRETCHES)
+    return reduce(DataFrame.unionByName, [*spans, equal_strings(hot, length)])
+
+
+def covered_spans(suspects: DataFrame, length: int, any_hot: bool) -> DataFrame:
+    """COVERED for the stretches `places` of the texts in `suspects`."""
+
+    def of(hot: bool) -> DataFrame:
+        some = F.filter("places", lambda p: (p["c"] > HOT_STRETCHES) == F.lit(hot))
+        return stretch_texts(suspects.withColumn("places", some).where(F.size("places") > 0), length)
+
+    cold = indexed(of(False), length)
+    return cold.unionByName(hot_spans(of(True), length)) if any_hot else cold
 
 
 def removed(texts: DataFrame) -> DataFrame:
@@ -428,7 +565,8 @@ def changed_texts(docs: DataFrame, length: int = 400, text: str = "text") -> Dat
     # copies are folded before they move; what is left of a text is one row
     texts = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max("text").alias("text"))
     suspects = cut(texts.join(places, ["k1", "k2"]))
-    spans = covered_spans(stretch_texts(suspects, length), length)
+    any_hot = not again.where(F.col("c") > HOT_STRETCHES).isEmpty()
+    spans = covered_spans(suspects, length, any_hot)
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     marked = suspects.select("k1", "k2", "copies", "text").join(spans, ["k1", "k2"], "left")

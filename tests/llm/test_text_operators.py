@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,9 +148,41 @@ def test_periodic_texts(monkeypatch, spark, hot):
     assert counts.sum() == len(long) - 399 and len(anchors) * 50 < 1.1 * len(long)
 
 
-def test_run_length_index():
-    import numpy as np
+@pytest.mark.parametrize("hot,rounds", [(40, 8), (7, 8), (3, 1), (2, 0)])
+def test_near_copies(monkeypatch, spark, hot, rounds):
+    """Hot anchors by further ones, and what they leave by whole strings; no string leaves an index as a row."""
+    monkeypatch.setattr(runlength, "HOT_STRETCHES", hot)
+    monkeypatch.setattr(runlength.hot_spans, "__defaults__", (rounds,))
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefgh ", k=500))
+    lines = ["".join(rng.choices("abcdefgh", k=45)) for _ in range(4)]
+    values = []
+    for i in range(120):
+        at = rng.randrange(len(base))
+        values.append(base[:at] + rng.choice("XYZ") * rng.randint(1, 3) + base[at + 1 :] if i % 5 else base)
+    values += ["|".join(rng.choices(lines, k=5)) for _ in range(60)]  # contexts that recombine
+    values += [base[100:260] + "".join(rng.choices("ijk", k=90)) for _ in range(8)]
+    rows = spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string")
+    got = by_id(without_repeats(rows, 60))
+    want = brute.without_repeats(dict(enumerate(values)), 60)
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+    assert 0 < sum(n for _, n, _, _ in want.values()) < sum(n for n, _, _, _ in want.values())
+
 
+def test_classes_are_equal_strings():
+    rng = random.Random(3)
+    for length in (3, 8, 11, 20, 40):
+        parts = [bytes(rng.choices(b"ab", weights=(1, 9), k=90)) for _ in range(3)]
+        index, begins = runlength.index_of(parts, length)
+        at = np.array([b + i for b in begins for i in range(90 - length + 1)])
+        strings = [p[i : i + length] for p in parts for i in range(90 - length + 1)]
+        classes = index.classes(at)
+        by_class, by_string = {}, {}
+        for c, s in zip(classes.tolist(), strings):
+            assert by_class.setdefault(c, s) == s and by_string.setdefault(s, c) == c
+
+
+def test_run_length_index():
     rng = random.Random(1)
     for _ in range(30):
         parts = [bytes(rng.choices(b"ab", k=rng.randint(1, 40))) for _ in range(4)] + [b"a" * 30] * 2
