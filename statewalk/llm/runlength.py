@@ -24,7 +24,7 @@ from statewalk.sources.store import cut
 
 GRAM = 32
 #: Bytes that a task indexes at once; groups of one anchor are kept together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: An anchor with more stretches than this is indexed in chunks, and the rest dealt by further anchors.
 HOT_STRETCHES = 2048
 FURTHER_ANCHORS = 8
@@ -149,7 +149,7 @@ class RunLengthIndex:
         if self.length < 8:
             keys = self.words[at] >> np.uint64(64 - 8 * self.length)
         else:  # the first and the last bytes, which overlap
-            keys = self.ranks[at] * (self.n + 2) + self.ranks[at + self.length - self.known]
+            keys = self.ranks[at].astype(np.int64) * (self.n + 2) + self.ranks[at + self.length - self.known]
         return np.unique(keys, return_inverse=True)[1]
 
     def _stream(self, rows: np.ndarray, match: np.ndarray) -> np.ndarray:
@@ -176,15 +176,16 @@ def _suffix_order(words: np.ndarray, n: int, depth: int, ranks_at: int = 0) -> t
     of two: equal ranks are equal bytes.
     """
     ranks = None
-    order = np.argsort(words[:n], kind="stable")
-    rank = np.empty(n + 1, dtype=np.int64)
+    small = np.int32 if n < 1 << 30 else np.int64  # half the memory to walk at random
+    order = np.argsort(words[:n], kind="stable").astype(small)
+    rank = np.empty(n + 1, dtype=small)
     rank[n] = -1
-    tied = np.arange(n)
+    tied = np.arange(n, dtype=small)
     keys = words[order]
     width = 8
     while True:
         new = np.concatenate([[True], (keys[1:] != keys[:-1])])
-        group = tied[np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))]
+        group = np.maximum.accumulate(np.where(new, tied, 0))
         rank[order[tied]] = group
         more = ~new | np.concatenate([~new[1:], [False]])
         tied = tied[more]
@@ -193,7 +194,7 @@ def _suffix_order(words: np.ndarray, n: int, depth: int, ranks_at: int = 0) -> t
         if width >= depth or not len(tied):
             return order, ranks
         places = order[tied]
-        keys = rank[places] * (n + 2) + rank[np.minimum(places + width, n)] + 1
+        keys = rank[places].astype(np.int64) * (n + 2) + rank[np.minimum(places + width, n)] + 1
         by = np.argsort(keys, kind="stable")
         order[tied] = places[by]
         keys = keys[by]
@@ -447,14 +448,16 @@ def dealt_further(chunks: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(key: tuple, alone: pa.Table, known: pa.Table) -> pa.Table:
         anchor = key[0].as_py()
-        common = np.array(known.column("grams").to_pylist()[0] or [], dtype=np.int64)
+        common = np.sort(np.array(known.column("grams").to_pylist()[0] or [0], dtype=np.int64))
         rows = []
         for k1, k2, start, _, part in zip(*[alone.column(c).to_pylist() for c in ("k1", "k2", "start", "n", "part")]):
             data = np.frombuffer(part, dtype=np.uint8)
             hashes = gram_hashes(data, min(GRAM, length)).view(np.int64)
-            rare, has = string_keys(data, length, allowed=~np.isin(hashes, common))
-            other, _ = string_keys(data, length, seed)
-            anchors = np.where(has, further(anchor, rare, 0), further(anchor, other, seed))
+            at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+            rare, has = string_keys(data, length, allowed=common[at] != hashes)
+            anchors = further(anchor, rare, 0)
+            if not has.all():
+                anchors = np.where(has, anchors, further(anchor, string_keys(data, length, seed)[0], seed))
             rows.extend((x, k1, k2, a, m, piece) for x, a, m, piece in sub_stretches(part, start, np.ones(len(has), dtype=bool), anchors, length))
         return _table(rows, STRETCH)
 
