@@ -42,7 +42,7 @@ FEATURES = [
     "vowels",
     "distinct_bytes",
     "entropy",
-    "distinct_of_first",
+    "distinct_in_blocks",
 ]
 
 # fixed values: very frequent short words of the four languages
@@ -118,10 +118,16 @@ def statistics(text: bytes) -> list[float]:
         of["vowels"],
         float(len(seen)),
         float(-(seen * np.log(seen)).sum()) if n else 0.0,
-        len(set(words[:200])) / max(min(n_words, 200), 1),
+        distinct_in_blocks(words),
     ]
 
 
+def distinct_in_blocks(words: list[bytes], block: int = 200) -> float:
+    """The mean share of distinct words over all blocks of successive words, which length does not bear on."""
+    shares = [len(set(part)) / len(part) for at in range(0, len(words), block) if (part := words[at : at + block])]
+    return sum(shares) / max(len(shares), 1)
+
+
 def feature_rows(texts) -> np.ndarray:
     found = [statistics(t or b"") for t in texts]
     return np.array(found, dtype=np.float64).reshape(len(found), len(FEATURES))
@@ -185,14 +191,14 @@ def quality_score(text: str, forest: Forest) -> Column:
 
 
 def classify_quality(
-    docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "text"
+    docs: DataFrame, forest: Forest, threshold: float = 0.3, text: str = "text", score: str = "score", predicted: str = "predicted"
 ) -> DataFrame:
-    """All columns of `docs` with `score` (0 to 1) and `predicted` (1 from `threshold` on).
+    """All columns of `docs` with `score` (0 to 1) and `predicted` (1 from `threshold` on), or as they are named.
 
     Only the text counts; null is scored as the empty text.  Equal texts get
     equal scores; columns of `docs` with those two names are replaced; an empty
     table gives an empty result.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-    scored = docs.select(*kept).withColumn("score", quality_score(text, forest))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kept = [c for c in docs.columns if c.lower() not in (score.lower(), predicted.lower())]
+    scored = docs.select(*kept).withColumn(score, quality_score(text, forest))
+    return scored.withColumn(predicted, (F.col(score) >= threshold).cast("int"))

@@ -18,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import row_key, running_starts, whole
+from statewalk.llm.common import fresh, row_key, running_starts, whole
 from statewalk.sources.store import cut
 
 
@@ -209,19 +209,19 @@ SPANS = "array<struct<start:bigint,order:int,kind:string,end:bigint>>"
 
 
 def scan_secrets(
-    docs: DataFrame, rules: list[Rule] | None = None, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, rules: list[Rule] | None = None, id: str = "doc_id", text: str = "text", name: str = "spans"
 ) -> DataFrame:
-    """All columns of `docs` and `spans`: array of (start, order, kind, end).
+    """All columns of `docs` and `spans`, or as `name` says: array of (start, order, kind, end).
 
     Spans are places in code points from 0, end exclusive, sorted by start and
     then by the order of the rules.  Null and empty texts have none; equal rows
     get equal spans; null ids do no harm; an empty table gives an empty result.
-    A column of `docs` named `spans` is replaced.
+    A column of `docs` of that name is replaced.
     """
     rules = RULES if rules is None else rules
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
-    kept = [c for c in docs.columns if c.lower() != "spans"]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(F.struct(*kept).alias("row"), whole(text).alias("text"), row_key(id, text).alias("key"))
     if queries:
         index = postings(docs, row_key(id, text), text, trigrams)
@@ -233,7 +233,7 @@ def scan_secrets(
         if rule.kind in queries:
             spans = F.when(F.array_contains("kinds", rule.kind), spans)
         found.append(F.coalesce(spans, none))
-    return rows.select("row.*", F.array_sort(F.concat(*found)).alias("spans"))
+    return rows.select("row.*", F.array_sort(F.concat(*found)).alias(name))
 
 
 def listed(spans: Column) -> Column:
@@ -252,11 +252,12 @@ def redact_secrets(
 ) -> DataFrame:
     """`docs` with every span replaced by `mark`; overlapping spans become one.
 
-    Texts without a span stay as they are, null included.
+    Texts without a span stay as they are, null included.  All columns stay, one
+    named `spans` too; repeated rows are treated alike; an empty table gives an
+    empty result.
     """
-    columns = docs.columns
-    scanned = scan_secrets(docs, id=id, text=text, **options)
-    name = "spans"
+    columns, name = docs.columns, fresh(docs, "spans")
+    scanned = scan_secrets(docs, id=id, text=text, name=name, **options)
     merged = F.aggregate(
         F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))),
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
@@ -281,4 +282,4 @@ def redact_secrets(
         ),
     )
     clean = F.when(F.size(name) > 0, F.array_join(pieces, mark)).otherwise(F.col(text))
-    return scanned.select(*[clean.alias(c) if c == text else F.col(c) for c in columns if c != name])
+    return scanned.select(*[clean.alias(c) if c == text else F.col(c) for c in columns])

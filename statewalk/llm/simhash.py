@@ -148,38 +148,52 @@ def simhash_groups(
     never name a component unless all its ids are null.  An empty table gives
     an empty result.  Other columns are not looked at.
     """
-    marked = cut(fingerprints(docs, shingle, id, text))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = component_roots(table_links(distinct.select("fp"), max_bits))
-    placed = distinct.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    marked, placed = fingerprint_groups(docs, shingle, max_bits, id, text)
     named = placed.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = cut(placed.join(named, "root").select("fp", "component"))
     return lookup_join(marked, by_fp, "fp").select(F.col("id").alias(id), "fp", "component")
 
 
-def first_of_groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def fingerprint_groups(docs: DataFrame, shingle: int, max_bits: int, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fp) of every row, and (fp, least, root): the least id of a fingerprint and its group."""
+    marked = cut(fingerprints(docs, shingle, id, text))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = component_roots(table_links(distinct.select("fp"), max_bits))
+    placed = distinct.join(roots.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    return marked, cut(placed.select("fp", "least", F.coalesce("component", "fp").alias("root")))
+
+
+def first_of_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates: the one with the least id.
 
-    Of rows that repeat an id one stays, and a group without any id keeps one
-    row of each fingerprint.  All columns of `docs` stay.
+    Groups are told apart by their fingerprints, so rows that repeat an id with
+    another text stand for themselves; of rows alike in id and fingerprint one
+    stays, and a group without any id keeps one row.  All columns of `docs` stay.
     """
-    groups = cut(simhash_groups(docs, id=id, text=text, **options))
-    gone = groups.where(F.col(id) != F.col("component")).select(id).distinct()
+    marked, placed = fingerprint_groups(docs, shingle, max_bits, id, text)
+    least = F.min(F.struct(F.col("least").isNull().alias("nameless"), "least", "fp")).alias("first")
+    firsts = cut(placed.groupBy("root").agg(least).select(F.col("first.least").alias("id"), "first.fp"))
+    repeated = cut(marked.where("id is not null").groupBy("id").count().where("count > 1").select("id"))
+    gone = marked.where("id is not null").join(firsts, ["id", "fp"], "left_anti").select("id").unionByName(repeated).distinct()
+    gone = cut(gone.withColumnRenamed("id", id))
     named = docs.where(F.col(id).isNotNull())
     chosen = named.join(F.broadcast(gone) if fits_broadcast(gone) else gone, id, "left_anti")
-    firsts = groups.where(F.col(id) == F.col("component"))
-    if not firsts.groupBy(id).count().where("count > 1").isEmpty():
-        chosen = chosen.dropDuplicates([id])
-    nameless = groups.where(F.col(id).isNull() & F.col("component").isNull()).select("fp").distinct()
-    if nameless.isEmpty():
+    if repeated.isEmpty() and marked.where("id is null").isEmpty():
         return chosen
-    return chosen.unionByName(_one_per_fingerprint(docs.where(F.col(id).isNull()), nameless, text, **options))
+    # an id does not tell these rows apart: their fingerprints are looked at again
+    odd = docs.where(F.col(id).isNull()).unionByName(named.join(repeated.withColumnRenamed("id", id), id, "left_semi").select(*docs.columns))
+    rows = odd.select(F.struct("*").alias("row"), F.col(id).alias("_id"), fingerprint(text, shingle).alias("_fp"))
+    kept = rows.join(firsts, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_fp") == F.col("fp")))
+    one = kept.groupBy("_id", "_fp").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return chosen.unionByName(one.select("row.*"))
+
+
+def fingerprint(text: str, shingle: int) -> Column:
+    """The fingerprint of the column's text as a bigint."""
 
+    @F.arrow_udf("bigint")
+    def of(texts: pa.Array) -> pa.Array:
+        found = np.array([simhash(t, shingle) for t in texts.to_pylist()], dtype=np.uint64)
+        return pa.array(found.view(np.int64))
 
-def _one_per_fingerprint(docs: DataFrame, wanted: DataFrame, text: str, shingle: int = 3, **_) -> DataFrame:
-    """Rows without an id: one per fingerprint in `wanted`."""
-    as_fp = F.udf(lambda t: int(np.uint64(simhash(t, shingle)).astype(np.int64)), "bigint")
-    rows = docs.select(F.struct("*").alias("row"), as_fp(whole(text).cast("binary")).alias("fp"))
-    return rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("row").alias("row")).select("row.*")
+    return of(whole(text).cast("binary"))

@@ -63,8 +63,9 @@ def sha1_base32(text: Column) -> Column:
 
 
 def capture_time(id: str) -> Column:
-    """A stand-in for pages without one: seconds after 2024 began, by id; no time zone enters."""
-    seconds = F.coalesce(F.pmod(F.col(id).cast("bigint"), F.lit(366 * 86400)), F.lit(0))
+    """A stand-in for pages without one: seconds after 2024 began, by id or its hash; no time zone enters."""
+    number = F.coalesce(F.col(id).try_cast("bigint"), F.xxhash64(F.col(id).cast("string")))
+    seconds = F.when(F.col(id).isNull(), 0).otherwise(F.pmod(number, F.lit(366 * 86400)))
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(seconds / 86400).cast("int")).cast("string")
     clock = [F.lpad(F.floor(seconds / unit % size).cast("string"), 2, "0") for unit, size in ((3600, 24), (60, 60), (1, 60))]
     return F.concat(day, F.lit("T"), F.concat_ws(":", *clock), F.lit("Z"))
@@ -96,7 +97,7 @@ def write_archives(
     least id is a response, the others are revisits that refer to it; rows that
     share that id, and rows whose payload has no id at all, are responses.  Null
     pages have an empty payload; null ids and urls leave their header empty or
-    out; other columns are not looked at.
+    out; ids may be text; other columns are not looked at.
     """
     named = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"))
     rows = with_record_types(named, "id", "html", min_bytes)
