@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statewalk.llm.catalog import held_out
+from statewalk.llm.common import fresh
 from statewalk.llm.decontam import without_contaminated
 from statewalk.llm.mixing import mixed_documents
 from statewalk.llm.quality import classify_quality, fit_quality
@@ -18,7 +19,9 @@ from statewalk.sources.tables import table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     forest = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
-    return classify_quality(docs, forest).where("predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    scored = classify_quality(docs, forest, score=score, predicted=predicted)
+    return scored.where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
