@@ -1,15 +1,18 @@
-"""Ordered folds of token rows into states, without gathering a whole key.
-
-A key may own any share of the rows, so no key is ever collected into one list.
-The rows are range-partitioned and sorted by (key, order), which splits a big
-key over many tasks; each run of 2^10 rows of one key is a block.  Blocks are
-folded on their own and their results combined level by level.  A list holds at
-most 2^10 entries, on the last level one per 2^20 rows of the key plus one per
-range partition.
+"""Ordered folds of token rows into states, without gathering a large key.
+
+A count, combined before its shuffle, tells the keys with more rows than a
+block of 2^10.  All others are one block each: one hash shuffle brings their
+rows together, and they are folded in place.  A large key may own any share of
+the rows, so its rows are range-partitioned and sorted by (key, order), which
+splits it over many tasks; each run of 2^10 rows of one key is a block.  Blocks
+are folded on their own and their results combined level by level, as many
+levels as the largest key needs, so no list holds more than 2^10 entries.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from statewalk.functions.algebra import (
     token_faces,
 )
 from statewalk.functions.text import join_tokens, split_tokens
+from statewalk.operators.joins import lookup_join
 from statewalk.sources.store import cut
 
 BLOCK_BITS = 10
@@ -64,6 +68,32 @@ def ordered_blocks(
     )
 
 
+def small_and_large(
+    rows: DataFrame, key, order, payload: Column, bits: int = BLOCK_BITS
+) -> tuple[DataFrame, DataFrame | None]:
+    """The blocks of keys with up to 2^bits rows, one each, and of the others if there are any.
+
+    There are fewer large keys than rows / 2^bits; if they fit, they are
+    broadcast to part the rows, and ordinary rows move once.
+    """
+    key, order = _names(key), _names(order)
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut(counts.where(F.col("_n") > (1 << bits)).select(*key, F.lit(True).alias("_large")))
+    slim = rows.select(*dict.fromkeys([*key, *order]), payload.alias("_item"))
+    some = not large.isEmpty()
+    if some:
+        # a NULL key matches no other; it goes the way that no size can harm
+        absent = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+        parted = lookup_join(slim, large, key, "left")
+        slim = parted.where(F.col("_large").isNull() & ~absent).drop("_large")
+        rest = parted.where(F.col("_large").isNotNull() | absent).drop("_large")
+    items = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order if c not in key], "_item")))
+    small = slim.groupBy(*key).agg(items.alias("_items")).select(
+        *key, F.lit(0).cast("bigint").alias("_block"), F.col("_items._item").alias("items")
+    )
+    return small, ordered_blocks(rest, key, order, F.col("_item"), bits) if some else None
+
+
 def _dense(blocks: DataFrame, bits: int) -> DataFrame:
     """Written blocks with numbers that follow each other closely over the partitions.
 
@@ -124,10 +154,11 @@ def fold_events(
     An unknown token ends the fold of its key; `n_applied` < `n_tokens` shows it.
     """
     key = _names(key)
-    blocks = ordered_blocks(events, key, order, F.col(token), bits).select(
-        *key, "_block", fold_tokens(F.col("items"), transitions=transitions).alias("value")
-    )
-    folded = _combine_blocks(blocks, key, bits, _fold_values)
+    small, large = small_and_large(events, key, order, F.col(token), bits)
+    value = fold_tokens(F.col("items"), transitions=transitions).alias("value")
+    folded = small.select(*key, value)
+    if large is not None:
+        folded = folded.unionByName(_combine_blocks(large.select(*key, "_block", value), key, bits, _fold_values))
     faces = F.col("value.faces")
     if init is not None:
         faces = compose_faces(to_faces(init), faces)
@@ -164,28 +195,48 @@ def fold_history(
 ) -> DataFrame:
     """One row per key and applied prefix: step `i`, its token, the state after it.
 
-    Step 1 is the start state with a NULL token.  Blocks are folded once and
-    written out; the state each block starts from is found from the folded
-    values alone, then each block lists its own steps.
+    Step 1 is the start state with a NULL token.  A small key lists its steps in
+    place.  The blocks of a large one are folded once and written out; the state
+    each starts from is found from the folded values alone, then each lists its
+    own steps.
     """
     key = _names(key)
     start = identity_struct() if init is None else init
-    blocks = cut(
-        ordered_blocks(events, key, order, F.col(token), bits).select(
+    small, large = small_and_large(events, key, order, F.col(token), bits)
+    begun = small.withColumn("start", fold_start(start))
+    steps = _steps(begun, key, transitions, first=start)
+    if large is not None:
+        value = fold_tokens(F.col("items"), transitions=transitions).alias("value")
+        blocks = cut(large.select(*key, "_block", "items", value))
+        levels = _levels(blocks, key, bits, _fold_values)
+        tops = _grouped(levels[-1], key)
+        starts = tops.select(*key, F.explode(_starts(F.col("_items"), fold_start(start))).alias("s"))
+        for level in reversed(levels[:-1]):
+            above = starts.select(*key, F.col("s._block").alias("_up"), F.col("s.start").alias("_from"))
+            groups = _joined(_grouped(level, key, F.shiftright("_block", bits).alias("_up")), above, [*key, "_up"])
+            starts = groups.select(*key, F.explode(_starts(F.col("_items"), F.col("_from"))).alias("s"))
+        block_starts = starts.select(*key, "s._block", "s.start")
+        begun = _joined(levels[0].drop("value"), block_starts, [*key, "_block"])
+        steps = steps.unionByName(_steps(begun, key, transitions))
+        keys = tops.select(
             *key,
-            "_block",
-            "items",
-            fold_tokens(F.col("items"), transitions=transitions).alias("value"),
+            F.lit(1).cast("bigint").alias("i"),
+            F.lit(None).cast("string").alias("token"),
+            to_faces(start).alias("_faces"),
         )
-    )
-    levels = _levels(blocks, key, bits, _fold_values)
-    tops = _grouped(levels[-1], key)
-    starts = tops.select(*key, F.explode(_starts(F.col("_items"), fold_start(start))).alias("s"))
-    for level in reversed(levels[:-1]):
-        above = starts.select(*key, F.col("s._block").alias("_up"), F.col("s.start").alias("_from"))
-        groups = _grouped(level, key, F.shiftright("_block", bits).alias("_up")).join(above, [*key, "_up"])
-        starts = groups.select(*key, F.explode(_starts(F.col("_items"), F.col("_from"))).alias("s"))
-    block_starts = starts.select(*key, "s._block", "s.start")
+        steps = steps.unionByName(keys)
+    return steps.select(*key, "i", "token", *_state_columns("_faces"))
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which NULL keys are equal."""
+    right = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(right, same).drop(*[f"_r_{c}" for c in on])
+
+
+def _steps(blocks: DataFrame, key: list[str], transitions, first: Column | None = None) -> DataFrame:
+    """(key, i, token, _faces) for each applied token of `items` from the fold `start` on, and `first` as step 1."""
     walked = F.aggregate(
         token_faces(F.col("items"), transitions),
         F.array(F.col("start").cast(FOLD_TYPE)),
@@ -193,11 +244,13 @@ def fold_history(
             out, fold_move(F.element_at(out, -1), faces).cast(FOLD_TYPE)
         ),
     )
-    steps = (
-        levels[0]
-        .drop("value")
-        .join(block_starts, [*key, "_block"])
-        .select(*key, F.explode(F.arrays_zip(F.slice(walked, 2, F.size("items")).alias("s"), F.col("items").alias("token"))).alias("x"))
+    if first is None:
+        pairs = F.arrays_zip(F.slice(walked, 2, F.size("items")).alias("s"), F.col("items").alias("token"))
+    else:
+        none = F.array(F.lit(None).cast("string"))
+        pairs = F.arrays_zip(walked.alias("s"), F.concat(none, F.col("items")).alias("token"))
+    return (
+        blocks.select(*key, F.explode(pairs).alias("x"))
         .where(~F.col("x.s.stopped"))
         .select(
             *key,
@@ -206,13 +259,6 @@ def fold_history(
             F.col("x.s.faces").alias("_faces"),
         )
     )
-    begin = tops.select(
-        *key,
-        F.lit(1).cast("bigint").alias("i"),
-        F.lit(None).cast("string").alias("token"),
-        to_faces(start).alias("_faces"),
-    )
-    return begin.unionByName(steps).select(*key, "i", "token", *_state_columns("_faces"))
 
 
 def last_state(history: DataFrame, key, order: str = "i") -> DataFrame:
@@ -228,10 +274,12 @@ def concat_trace(
 ) -> DataFrame:
     """The texts of a key in order as one text, NULL and empty ones left out."""
     key = _names(key)
-    blocks = ordered_blocks(trace, key, order, F.col(text), bits).select(
-        *key, "_block", join_tokens(F.col("items"), sep).alias("value")
-    )
-    joined = _combine_blocks(blocks, key, bits, lambda values: join_tokens(values, sep))
+    small, large = small_and_large(trace, key, order, F.col(text), bits)
+    value = join_tokens(F.col("items"), sep).alias("value")
+    joined = small.select(*key, value)
+    if large is not None:
+        blocks = large.select(*key, "_block", value)
+        joined = joined.unionByName(_combine_blocks(blocks, key, bits, lambda values: join_tokens(values, sep)))
     return joined.withColumnRenamed("value", "result")
 
 

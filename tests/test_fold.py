@@ -104,3 +104,24 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], "k string, i int, t string")
     assert fold_events(none, "k", "i", "t").count() == 0
     assert fold_history(none, "k", "i", "t").count() == 0
+
+
+def test_ordinary_keys_move_once(spark):
+    ordinary = cut(events(spark).where("k <> 'hot'"))
+    for df in (fold_events(ordinary, "k", "i", "t", bits=5), fold_history(ordinary, "k", "i", "t", bits=5), concat_trace(ordinary, "k", "i", "t", bits=5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "rangepartitioning" not in plan
+
+
+@pytest.mark.parametrize("bits", [2, 10])
+def test_null_keys_are_a_key(spark, bits):
+    rows = [(None, 1, i, "U") for i in range(9)] + [("a", None, i, "R") for i in range(3)] + [("a", 1, i, "F") for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, g int, i int, t string")
+    want = {(None, 1): 9, ("a", None): 3, ("a", 1): 20}
+    got = {(r["k"], r["g"]): r for r in fold_events(df, ["k", "g"], "i", "t", bits=bits).collect()}
+    assert {k: r["n_applied"] for k, r in got.items()} == want
+    assert arrays(got[None, 1]) == fold(["U"] * 9)[0] and arrays(got["a", 1]) == fold(["F"] * 20)[0]
+    steps = fold_history(df, ["k", "g"], "i", "t", bits=bits).groupBy("k", "g").count().collect()
+    assert {(r["k"], r["g"]): r["count"] for r in steps} == {k: n + 1 for k, n in want.items()}
+    texts = {(r["k"], r["g"]): r["result"] for r in concat_trace(df, ["k", "g"], "i", "t", bits=bits).collect()}
+    assert texts["a", 1] == " ".join("F" * 20) and texts[None, 1] == " ".join("U" * 9)
