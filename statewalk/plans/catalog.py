@@ -17,7 +17,7 @@ from statewalk.operators.fold import (
 )
 from statewalk.operators.joins import lookup_join
 from statewalk.operators.keyed import canonical_groups, class_sizes, key_states
-from statewalk.operators.replay import lookup_paths, replay_inverse, replay_trace, reverse_paths
+from statewalk.operators.replay import lookup_paths, lookup_stored, replay_inverse, replay_trace, reverse_paths
 from statewalk.operators.resolve import resolve_states, resolve_trace
 from statewalk.operators.search import (
     bfs_paths as search_edges,
@@ -33,7 +33,7 @@ from statewalk.operators.transitions import (
 )
 from statewalk.plans.stages import stage_table
 from statewalk.sources import tables as t
-from statewalk.sources.store import cut, load_paths, save_paths, scratch_path
+from statewalk.sources.store import bucket_paths, cut, load_paths, save_paths, scratch_path
 
 FULL_LAYOUT = [("corner", "pos"), ("edge", "pos"), ("corner", "ori"), ("edge", "ori")]
 
@@ -127,6 +127,17 @@ def lookup_nodes(spark, sf_dir):
     return _path_text(lookup_paths(lines, paths.withColumnRenamed("node", "state")))
 
 
+def lookup_buckets(spark, sf_dir):
+    """The same from paths stored in buckets, NULL keys for every seventh order among the entries."""
+    paths = search_edges(t.order_part_edges(spark, sf_dir), t.first_part(spark, sf_dir))
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    lines = t.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 7 != 0, part).alias("state")
+    )
+    found = lookup_stored(lines, bucket_paths(paths.withColumnRenamed("node", "state")), how="left")
+    return found.withColumn("path", F.array_join("path", " "))
+
+
 # --- transitions --------------------------------------------------------------
 
 
@@ -154,6 +165,17 @@ def apply_transitions(spark, sf_dir):
     return turned.select("event_id", "user_id", "move", *_joined(STATE_FIELDS))
 
 
+def apply_with_nulls(spark, sf_dir):
+    """The same where every third event lacks an array and every fifth its token: those give no row."""
+    events = t.event_tokens(spark, sf_dir).select("user_id", "event_id", F.col("token").alias("move"))
+    states = lookup_join(events, cut(_user_states(spark, sf_dir)), "user_id")
+    states = states.withColumn("edge_ori", F.when(F.col("event_id") % 3 != 0, F.col("edge_ori")))
+    states = states.withColumn("move", F.when(F.col("event_id") % 5 != 0, F.col("move")))
+    moves = transition_table(spark).select("move", *MOVE_FIELDS)
+    turned = turn_states(states, moves, "move", small=True)
+    return turned.select("event_id", "user_id", "move", *_joined(STATE_FIELDS))
+
+
 def bfs_states(spark, sf_dir):
     """Every state within two tokens of some user's final state."""
     seeds = key_states(_user_states(spark, sf_dir), "full").select("state")
@@ -206,6 +228,11 @@ def explode_turns(spark, sf_dir):
     return explode_tokens(turns, "text")
 
 
+def explode_characters(spark, sf_dir):
+    events = t.table(spark, sf_dir, "events").select("event_id", "event_type")
+    return explode_tokens(events, "event_type", sep=None)
+
+
 # --- keys ---------------------------------------------------------------------
 
 
@@ -260,6 +287,30 @@ def _lookup_stage(stage, scheme):
     return run
 
 
+def _late_lookup(stage, scheme):
+    """Every user's state on entering a late stage, with its path there."""
+
+    def run(spark, sf_dir):
+        before = {k: stage_table(spark, k) for k in range(1, stage)}
+        states = _user_states(spark, sf_dir).drop("n_tokens", "n_applied")
+        # the last step of the stage before is the state that enters this one
+        trace = resolve_trace(states, before).where(F.col("stage") == stage - 1)
+        entered = last_state(trace.drop("stage", "move"), "user_id", "step").drop("step")
+        found = lookup_paths(key_states(entered, scheme), stage_table(spark, stage), small=True)
+        return found.select("user_id", "state", F.array_join("path", " ").alias("path"))
+
+    return run
+
+
+def replay_broken(spark, sf_dir):
+    """Paths of stage 1 with one token made unknown, undone as far as they go."""
+    found = _looked_up(1, "digits")(spark, sf_dir).drop("token")
+    spoilt = F.transform("path", lambda x, at: F.when((F.col("i") % 3 == 0) & (at == 1), F.lit("?")).otherwise(x))
+    return replay_inverse(found.withColumn("path", spoilt), keep_broken=True).select(
+        "user_id", "i", "broken", F.array_join("applied", " ").alias("applied"), *_joined(STATE_FIELDS)
+    )
+
+
 def replay_stage1(spark, sf_dir):
     found = _looked_up(1, "digits")(spark, sf_dir).drop("token")
     return replay_inverse(found).select(
@@ -300,9 +351,11 @@ QUERIES = {
     "bfs_states": bfs_states,
     "stored_paths_roundtrip": stored_paths_roundtrip,
     "lookup_nodes": lookup_nodes,
+    "lookup_buckets": lookup_buckets,
     "reverse_paths": reverse_edge_paths,
     "supplier_powers": supplier_powers,
     "apply_transitions": apply_transitions,
+    "apply_with_nulls": apply_with_nulls,
     "fold_events": fold_user_events,
     "fold_lineitem": fold_lineitem,
     "fold_history": history,
@@ -312,6 +365,7 @@ QUERIES = {
     "concat_roles": concat_roles,
     "explode_tokens": explode_documents,
     "explode_turns": explode_turns,
+    "explode_characters": explode_characters,
     "key_digits": _key_counts("digits"),
     "key_flags": _key_counts("flags"),
     "key_buckets": _key_counts("buckets"),
@@ -321,7 +375,10 @@ QUERIES = {
     "canonical_join": canonical_join,
     "lookup_stage1": _lookup_stage(1, "digits"),
     "lookup_stage2": _lookup_stage(2, "flags"),
+    "lookup_stage3": _late_lookup(3, "buckets"),
+    "lookup_stage4": _late_lookup(4, "hex"),
     "replay_stage1": replay_stage1,
+    "replay_broken": replay_broken,
     "replay_trace": replay_trace_stage2,
     "resolve_sequences": resolve_sequences,
     "resolve_trace": trace_of_resolve,

@@ -295,13 +295,17 @@ def _fold(start: str, applied: str) -> str:
     return f"list_reduce({steps}, lambda p, q: list_transform(q, lambda x: p[x + 1]))"
 
 
-def _resolved() -> list[str]:
+SCHEME = {1: "digits", 2: "flags", 3: "buckets", 4: "hex"}
+
+
+def _resolved(upto: int = 4) -> list[str]:
     """Tables r1 to r4: every user's state s0 before a stage, the tokens applied, s after it."""
     ctes = [MOVES, EVENT_TOKENS, WALK, LAST, TOKEN_FACES]
-    for k in (1, 2, 3, 4):
+    for k in range(1, upto + 1):
         ctes += _stage(k)
     ctes.append("r0 AS (SELECT k, n, s, []::VARCHAR[] AS done FROM final)")
-    for k, scheme in ((1, "digits"), (2, "flags"), (3, "buckets"), (4, "hex")):
+    for k in range(1, upto + 1):
+        scheme = SCHEME[k]
         ctes.append(
             f"""r{k} AS MATERIALIZED (
   SELECT v.k, v.n, {_fold('v.s', 'v.applied')} AS s, list_concat(v.done, v.applied) AS done,
@@ -334,6 +338,15 @@ def _resolve() -> str:
     )
 
 
+def _late_lookup(k: int) -> str:
+    """Paths of stage k for every user's state after the stages before."""
+    return _with(*_resolved(k - 1), *_stage(k)) + (
+        "SELECT w.k AS user_id, w.state, array_to_string(g.path, ' ') AS path"
+        f" FROM (SELECT *, {KEY[SCHEME[k]]} AS state FROM (SELECT *, {PARTS['corner_pos']} AS c FROM r{k - 1})) w"
+        f" JOIN g{k} g USING (state)"
+    )
+
+
 def _neighbourhood() -> str:
     ctes = [MOVES, EVENT_TOKENS, WALK, LAST]
     ctes.append("n0 AS MATERIALIZED (SELECT DISTINCT s, []::VARCHAR[] AS path FROM final)")
@@ -420,6 +433,13 @@ FROM (
     + f"""SELECT event_id, k AS user_id, token AS move, {_state_text('z')}
 FROM (SELECT q.event_id, q.k, q.token, {_compose('f.s', 'q.faces')} AS z
       FROM seq q JOIN final f ON f.k = q.k)""",
+    "apply_with_nulls": USERS_LAST
+    + f"""SELECT event_id, k AS user_id, token AS move, {_state_text('z')}
+FROM (SELECT q.event_id, q.k, q.token, {_compose('f.s', 'q.faces')} AS z
+      FROM seq q JOIN final f ON f.k = q.k WHERE q.event_id % 3 <> 0 AND q.event_id % 5 <> 0)""",
+    "explode_characters": """
+SELECT event_id, i::BIGINT AS i, event_type[i] AS token
+FROM (SELECT event_id, event_type, unnest(range(1, length(event_type) + 1)) AS i FROM events)""",
     "fold_events": USERS_LAST
     + f"SELECT k AS user_id, {_state_text()}, n AS n_tokens, n AS n_applied FROM final",
     "fold_lineitem": _with(MOVES, _line_tokens("l_orderkey"), WALK, LAST)
@@ -450,6 +470,20 @@ GROUP BY canonical""",
     f" FROM (SELECT *, {PARTS['corner_pos']} AS c FROM walk)",
     "lookup_stage1": _lookup(1, "digits"),
     "lookup_stage2": _lookup(2, "flags"),
+    "lookup_stage3": _late_lookup(3),
+    "lookup_stage4": _late_lookup(4),
+    "lookup_buckets": _search(ORDER_PART, FIRST_PART)
+    + "SELECT CASE WHEN l_orderkey % 7 <> 0 THEN 'p' || l_partkey END AS state, l_orderkey, l_linenumber,"
+    " array_to_string(path, ' ') AS path"
+    " FROM lineitem LEFT JOIN found ON node = 'p' || l_partkey AND l_orderkey % 7 <> 0",
+    "replay_broken": _with(MOVES, EVENT_TOKENS, WALK, TOKEN_FACES, *_stage(1))
+    + f"""SELECT k AS user_id, i, broken, array_to_string(applied, ' ') AS applied, {_state_text('z')}
+FROM (SELECT v.k, v.i, v.broken, v.applied, {_fold('v.s', 'v.applied')} AS z
+      FROM (SELECT w.k, w.i, w.s, w.i % 3 = 0 AND len(g.path) > 1 AS broken,
+                   CASE WHEN w.i % 3 = 0 AND len(g.path) > 1 THEN ({_undo('g.path')})[1:len(g.path) - 2]
+                        ELSE {_undo('g.path')} END AS applied
+            FROM (SELECT *, {KEY['digits']} AS state FROM walk) w JOIN g1 g USING (state), tokenmap tm) v,
+           tokenmap tm)""",
     "replay_stage1": _with(MOVES, EVENT_TOKENS, WALK, TOKEN_FACES, *_stage(1))
     + f"""SELECT k AS user_id, i, array_to_string(applied, ' ') AS applied, {_state_text('z')}
 FROM (SELECT v.k, v.i, v.applied, {_fold('v.s', 'v.applied')} AS z

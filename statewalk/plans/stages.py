@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from statewalk.functions.keys import canonical
 from statewalk.functions.successors import PackedKeys, TextKeys
 from statewalk.operators.search import bfs_states
 from statewalk.sources.fixed import STAGE_BARRED, STAGE_DEPTH, STAGE_SEEDS
-from statewalk.sources.store import load_paths, save_paths, scratch_path
+from statewalk.sources.store import path_texts, publish, published, shared_folder
 
 LAYOUTS = {
     1: [("edge", "ori")],
@@ -60,15 +62,14 @@ _locations: dict[tuple[str, int], str] = {}
 def stage_table(spark: SparkSession, number: int, location: str | None = None) -> DataFrame:
     """Stored path table of a stage: state, path_text.
 
-    Searched once and kept in the shared folder; later calls in the session, or
-    with the same `location`, read it back.  The four tables hold 2,048 /
-    1,082,565 / 176,400 / 663,552 rows whatever the data.
+    Built where nothing is published at `location` yet, and read back after
+    that; a table that is torn or of another stage is refused.  Without a
+    location it is kept in the shared folder for the session.  The four tables
+    hold 2,048 / 1,082,565 / 176,400 / 663,552 rows whatever the data.
     """
     place = (spark.sparkContext.applicationId, number)
     if location is None:
-        location = _locations.get(place)
-        if location is None:
-            location = scratch_path(spark, f"stage{number}")
-            save_paths(build_stage(spark, number), location)
-            _locations[place] = location
-    return load_paths(spark, location, sep=None)
+        location = _locations.setdefault(place, f"{shared_folder(spark).rstrip('/')}/stage{number}-{uuid.uuid4().hex}")
+    content = f"paths of stage {number} by {' '.join(stage_tokens(number))}"
+    found = published(spark, location, content)
+    return publish(path_texts(build_stage(spark, number)), location, content) if found is None else found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 _local_folders: dict[str, str] = {}
@@ -144,13 +146,7 @@ def save_paths(paths: DataFrame, location: str, sep: str = " ") -> None:
     The path is kept as one text: half the width of an array of strings when a
     lookup has to hold the table in memory.
     """
-    (
-        paths.select("state", F.array_join("path", sep).alias("path_text"))
-        .repartitionByRange("state")
-        .sortWithinPartitions("state")
-        .write.mode("errorifexists")
-        .parquet(location)
-    )
+    path_texts(paths, sep).write.mode("errorifexists").parquet(location)
 
 
 def load_paths(spark: SparkSession, location: str, sep: str | None = " ") -> DataFrame:
@@ -162,3 +158,68 @@ def load_paths(spark: SparkSession, location: str, sep: str | None = " ") -> Dat
     from statewalk.functions.text import split_tokens
 
     return stored.select("state", split_tokens(F.col("path_text"), sep).alias("path"))
+
+
+# --- published tables -------------------------------------------------------
+
+MANIFEST = "manifest.json"
+
+
+def _file_system(spark: SparkSession, location: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def publish(df: DataFrame, location: str, content: str) -> DataFrame:
+    """Write `df` under `location` for other sessions, all of it or nothing.
+
+    The rows go to a folder of their own; only when they are complete, a
+    manifest with their number, schema and `content`, which says what they are,
+    is put in place by one rename.  If another session was first, its table holds.
+    """
+    spark = df.sparkSession
+    folder = f"{location.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    rows = spark.read.schema(df.schema).parquet(folder).count()
+    said = {"folder": folder.rsplit("/", 1)[1], "rows": rows, "schema": json.loads(df.schema.json()), "content": content}
+    files, target = _file_system(spark, f"{location.rstrip('/')}/{MANIFEST}")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(said).encode()))
+    out.close()
+    files.rename(draft, target)
+    return published(spark, location, content)
+
+
+def published(spark: SparkSession, location: str, content: str) -> DataFrame | None:
+    """The table published at `location`; None if there is none, an error if it is another one or torn."""
+    files, path = _file_system(spark, f"{location.rstrip('/')}/{MANIFEST}")
+    if not files.exists(path):
+        return None
+    lines = spark.read.text(path.toString(), wholetext=True).first()
+    try:
+        said = json.loads(lines[0]) if lines else {}
+        schema = StructType.fromJson(said["schema"])
+        folder, expected, what = said["folder"], said["rows"], said["content"]
+    except (ValueError, KeyError) as error:
+        raise ValueError(f"{location} has a manifest that cannot be read") from error
+    if what != content:
+        raise ValueError(f"{location} holds {what!r}, not {content!r}")
+    rows = spark.read.schema(schema).parquet(f"{location.rstrip('/')}/{folder}")
+    found = rows.count()
+    if found != expected:
+        raise ValueError(f"{location} is torn: {found} rows of {expected}")
+    return rows
+
+
+def path_texts(paths: DataFrame, sep: str = " ") -> DataFrame:
+    """(state, path_text) of (state, path), clustered by state."""
+    return paths.select("state", F.array_join("path", sep).alias("path_text")).repartitionByRange("state").sortWithinPartitions("state")
+
+
+def bucket_paths(paths: DataFrame, buckets: int | None = None, sep: str = " ") -> DataFrame:
+    """Store (state, path) in sorted buckets of the state: lookups then move their entries only."""
+    spark = paths.sparkSession
+    if buckets is None:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return write_bucketed(paths.select("state", F.array_join("path", sep).alias("path_text")), ["state"], buckets)
