@@ -86,10 +86,11 @@ class PackedKeys:
 
     type = "bigint"
 
-    def __init__(self, layout: Layout):
-        self.slots = []  # (part, kind, bits, shift) per slot
+    def __init__(self, layout: Layout, widths: dict[str, int] | None = None):
+        """`widths` has the bits of a position digit by part; one bit each if it is left out."""
+        self.slots = []  # (part, kind, bits) per slot
         for part, kind in layout:
-            bits = 2 if (part, kind) == ("corner", "ori") else 1
+            bits = (2 if part == "corner" else 1) if kind == "ori" else (widths or {}).get(part, 1)
             self.slots += [(part, kind, bits)] * SLOTS[part]
         self.layout = layout
         low, shifts = 0, []
@@ -145,7 +146,9 @@ class PackedKeys:
         )
         rows = rows.withColumn("state", F.expr(gathered))
 
-        wide = self._mask(lambda i: self.slots[i][2] == 2)
+        if all(kind != "ori" for _, kind, _ in self.slots):
+            return rows
+        wide = self._mask(lambda i: self.slots[i][1:] == ("ori", 2))
         if not wide:
             return rows.withColumn("state", F.expr("state ^ plus_one"))
         # Digits of two bits, modulo 3, all slots at once: low bit, high bit, a
@@ -162,3 +165,56 @@ class PackedKeys:
         rest = f"(state & {~(wide * 3)}L)"
         digits = F.expr(f"{rest} | {low} | shiftleft({high}, 1)")
         return rows.withColumn("state", digits).drop("_low", "_high", "_zero", "_stay")
+
+
+class OrbitKeys(PackedKeys):
+    """Keys of positions, each kept as a number within the orbit of its slot.
+
+    The tokens of a search move a slot's content only within the orbit of the
+    slot, so a few bits tell which member it is: an arrangement of twelve that
+    keeps to three orbits of four takes 24 bits, not 48.  A key or token that
+    leaves the orbits is refused.
+    """
+
+    def __init__(self, layout: Layout, tokens: list[str]):
+        if any(kind != "pos" for _, kind in layout):
+            raise ValueError("orbits are of positions")
+        self.orbits: list[list[int]] = []
+        widths = {}
+        for part, _ in layout:
+            of = _orbits(part, tokens)
+            widths[part] = max((len(of[slot]) - 1).bit_length() or 1 for slot in range(SLOTS[part]))
+            self.orbits += [of[slot] for slot in range(SLOTS[part])]
+        super().__init__(layout, widths)
+
+    def pack(self, text: str) -> int:
+        return sum(orbit.index(int(ch, 16)) << shift for ch, orbit, shift in zip(text, self.orbits, self.shifts))
+
+    def text(self, key: Column) -> Column:
+        pieces = []
+        for (_, _, bits), orbit, shift in zip(self.slots, self.orbits, self.shifts):
+            member = F.shiftright(key, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+            names = "".join(f"{value:X}" for value in orbit)
+            pieces.append(F.substring(F.lit(names), member + 1, F.lit(1)))
+        return F.concat(*pieces)
+
+    def moves(self, tokens: list[str]) -> Column:
+        at = 0
+        for part, _ in self.layout:
+            for token in tokens:
+                for slot, source in enumerate(BY_TOKEN[token].pos[part]):
+                    if self.orbits[at + slot] != self.orbits[at + source]:
+                        raise ValueError(f"{token} leaves the orbits of these keys")
+            at += SLOTS[part]
+        return super().moves(tokens)
+
+
+def _orbits(part: str, tokens: list[str]) -> dict[int, list[int]]:
+    """For each slot the slots that the tokens can bring its content to."""
+    of = {slot: {slot} for slot in range(SLOTS[part])}
+    for token in tokens:
+        for slot, source in enumerate(BY_TOKEN[token].pos[part]):
+            joined = of[slot] | of[source]
+            for member in joined:
+                of[member] = joined
+    return {slot: sorted(members) for slot, members in of.items()}

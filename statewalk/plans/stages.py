@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from statewalk.functions.algebra import TOKENS
 from statewalk.functions.keys import canonical
-from statewalk.functions.successors import PackedKeys, TextKeys
+from statewalk.functions.successors import OrbitKeys, PackedKeys
 from statewalk.operators.search import bfs_states
 from statewalk.sources.fixed import STAGE_BARRED, STAGE_DEPTH, STAGE_SEEDS
 from statewalk.sources.store import path_texts, publish, published, shared_folder
@@ -20,24 +20,30 @@ LAYOUTS = {
     3: [("corner", "pos"), ("edge", "pos")],
     4: [("corner", "pos"), ("edge", "pos")],
 }
+
+
+def stage_tokens(number: int) -> list[str]:
+    return [t for t in TOKENS if t not in STAGE_BARRED[number]]
+
+
+#: All four fit a bigint: digits of one bit, digits of three and two bits, and places within orbits.
 KEYS = {
     1: PackedKeys(LAYOUTS[1]),
     2: PackedKeys(LAYOUTS[2]),
-    3: TextKeys(LAYOUTS[3]),
-    4: TextKeys(LAYOUTS[4]),
+    3: PackedKeys(LAYOUTS[3], {"corner": 3, "edge": 2}),
+    4: OrbitKeys(LAYOUTS[4], stage_tokens(4)),
 }
-
-
-def stage_tokens(number: int) -> list[str]:
-    barred = STAGE_BARRED[number].split()
-    return [t for t in TOKENS if t not in barred]
+_EDGE_BITS = 24
 
 
 def _next_canonical(rows: DataFrame) -> DataFrame:
     """Stage 3 keeps one representative per class of corner arrangements."""
     rows = KEYS[3].successor(rows)
-    whole = F.concat(canonical(F.col("_corners")), F.substring("state", 9, 12))
-    return rows.withColumn("_corners", F.substring("state", 1, 8)).withColumn("state", whole)
+    corners = F.lpad(F.conv(F.shiftright("state", _EDGE_BITS).cast("string"), 10, 8), 8, "0")
+    rows = rows.withColumn("_corners", corners)
+    chosen = F.shiftleft(F.conv(canonical(F.col("_corners")), 8, 10).cast("bigint"), _EDGE_BITS)
+    edges = F.col("state").bitwiseAND(F.lit((1 << _EDGE_BITS) - 1))
+    return rows.withColumn("state", chosen.bitwiseOR(edges)).drop("_corners")
 
 
 def build_stage(spark: SparkSession, number: int, max_depth: int | None = None) -> DataFrame:

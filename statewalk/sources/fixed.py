@@ -56,10 +56,10 @@ STAGE_SEEDS = {
     4: ["012345670123456789AB"],
 }
 STAGE_BARRED = {
-    1: "",
-    2: "U u D d",
-    3: "U u D d F f B b",
-    4: "U u D d F f B b L l R r",
+    1: [],
+    2: ["U", "u", "D", "d"],
+    3: ["U", "u", "D", "d", "F", "f", "B", "b"],
+    4: ["U", "u", "D", "d", "F", "f", "B", "b", "L", "l", "R", "r"],
 }
 STAGE_DEPTH = {1: 7, 2: 10, 3: 13, 4: 15}
 

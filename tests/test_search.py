@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 import statewalk.operators.search as search
 from statewalk.functions.algebra import TOKENS
-from statewalk.functions.successors import TextKeys
+from statewalk.functions.keys import canonical
+from statewalk.functions.successors import OrbitKeys, TextKeys
 from statewalk.operators.search import PathCode, bfs_paths, bfs_states, dedupe_new, expand, expand_n
-from statewalk.plans.stages import KEYS, LAYOUTS, build_stage, stage_tokens
+from statewalk.plans.stages import KEYS, LAYOUTS, _next_canonical, build_stage, stage_tokens
 from statewalk.sources.fixed import STAGE_SEEDS
 
 GOLDEN = {
@@ -83,10 +84,15 @@ def test_stage_sizes(stage_tables):
 
 
 def test_packed_search_equals_text_search(spark):
-    for number in (1, 2):
+    def next_text(rows):
+        rows = TextKeys(LAYOUTS[3]).successor(rows)
+        whole = F.concat(canonical(F.col("_corners")), F.substring("state", 9, 12))
+        return rows.withColumn("_corners", F.substring("state", 1, 8)).withColumn("state", whole)
+
+    for number in (1, 2, 3, 4):
         text = TextKeys(LAYOUTS[number])
         seeds = spark.createDataFrame([(s,) for s in STAGE_SEEDS[number]], "state string")
-        a = bfs_states(seeds, text, stage_tokens(number), 4)
+        a = bfs_states(seeds, text, stage_tokens(number), 4, next_state=next_text if number == 3 else None)
         b = build_stage(spark, number, 4)
         rows = lambda df: sorted((r["state"], r["distance"], list(r["path"])) for r in df.collect())
         assert rows(a) == rows(b)
@@ -109,8 +115,37 @@ def test_a_long_chain_is_walked_to_its_end(spark, directed):
     assert {r["node"]: r["path"] for r in found.collect()} == {i: list(range(i + 1)) for i in range(41)}
 
 
-def test_one_way_tokens_and_no_seeds(spark):
+def test_stage_levels_are_hash_aggregates(spark):
+    for number, keys in KEYS.items():
+        seeds = spark.createDataFrame([(keys.pack(s),) for s in STAGE_SEEDS[number]], f"state {keys.type}")
+        code = PathCode(stage_tokens(number), 15)
+        level = seeds.select("state", code.start().alias("path"))
+        step = _next_canonical if number == 3 else keys.successor
+        found = dedupe_new(expand(level, keys.moves(code.tokens), step, code.extend()), level, "state", F.min("path").alias("path"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert code.packed == (number > 1) and keys.type == "bigint"
+        if code.packed:
+            assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_orbits_are_kept(spark):
     keys = KEYS[4]
+    assert sorted({tuple(o) for o in keys.orbits[8:]}) == sorted({tuple(o) for o in keys.orbits[8:] if len(o) == 4})
+    for text in (STAGE_SEEDS[4][0], "123056740123456789AB"):
+        try:
+            packed = keys.pack(text)
+        except ValueError:
+            assert text != STAGE_SEEDS[4][0]
+            continue
+        assert spark.range(1).select(keys.text(F.lit(packed))).first()[0] == text
+    with pytest.raises(ValueError, match="leaves the orbits"):
+        keys.moves(["U"])
+    with pytest.raises(ValueError):
+        OrbitKeys([("edge", "ori")], ["U2"])
+
+
+def test_one_way_tokens_and_no_seeds(spark):
+    keys = TextKeys(LAYOUTS[4])
     seeds = spark.createDataFrame([(keys.pack(STAGE_SEEDS[4][0]),)], f"state {keys.type}")
     found = bfs_states(seeds, keys, ["U"], 8).collect()
     assert sorted(r["distance"] for r in found) == [0, 1, 2, 3]
