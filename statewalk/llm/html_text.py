@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
@@ -29,6 +30,7 @@ BLOCK = frozenset(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address header footer nav aside form fieldset details summary dialog center menu hgroup search".split()
 )
+HEAD = frozenset("title style script link meta base noscript template".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 SAME_LEVEL = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -109,7 +111,14 @@ class Tree(HTMLParser):
             if name in stop:
                 return
 
+    def leave_head(self) -> None:
+        """A head ends at the first thing that cannot stand in it, with or without its end tag."""
+        if self.tag[self.open[-1]] == "head":
+            self.pop()
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.leave_head()
         if tag in BLOCK:
             self.fresh = True
         if tag in CLOSES_P:
@@ -142,6 +151,8 @@ class Tree(HTMLParser):
             self.close_upto({tag}, stop)
 
     def handle_data(self, data):
+        if data.strip():
+            self.leave_head()
         if self.silent:
             return
         node = self.open[-1]
@@ -209,6 +220,8 @@ class Nodes:
 
     def features(self) -> list[list[float]]:
         tree, own, rows = self.tree, self.own, []
+        places = {c: at for siblings in self.children.values() for at, c in enumerate(siblings)}
+        alike = {up: Counter(tree.tag[c] for c in siblings) for up, siblings in self.children.items()}
         inherited: dict[int, list[float]] = {0: [0.0] * (len(TOKEN_GROUPS) + len(SURE_TAGS))}
         for i in self.kept:
             up = self.above[i]
@@ -224,7 +237,7 @@ class Nodes:
             from_above = inherited[up]
             inherited[i] = [max(a, b) for a, b in zip(from_above, [min(t, 1.0) for t in tokens] + sure)]
             siblings = self.children[up]
-            place = siblings.index(i) if len(siblings) < 64 else min(len(siblings) - 1, 64)
+            place = places[i]
             around = own[up][0] if up else self.page_chars
             rows.append(
                 [
@@ -243,7 +256,7 @@ class Nodes:
                     float(tree.depth[i]),
                     place / max(len(siblings), 1),
                     float(len(siblings)),
-                    sum(tree.tag[s] == tree.tag[i] for s in siblings[:64]) / max(min(len(siblings), 64), 1),
+                    alike[up][tree.tag[i]] / max(len(siblings), 1),
                     float(len(self.children[i])),
                     *tags,
                     *tokens,
@@ -264,37 +277,44 @@ class Nodes:
                 node = tree.parent[node]
         return [None if len(found[i]) > 1 else int(found[i] == {True}) for i in self.kept]
 
-    def decode(self, p: np.ndarray, split_cost: float) -> set[int]:
+    def decode(self, p: np.ndarray, split_cost: float, drop_cost: float) -> set[int]:
         """The nodes whose own text stays.
 
         For every subtree: the best of all in, all out, or each child for itself
-        (its own text then as the node's probability says) at the price of a split.
+        (its own text then as the node's probability says) at the price of a
+        split, which the page as a whole has for nothing; out of a node that
+        stays itself a child only goes at a price.
         """
         odds = np.log(np.clip(p, 1e-4, 1 - 1e-4)) - np.log1p(-np.clip(p, 1e-4, 1 - 1e-4))
         place = {i: k for k, i in enumerate(self.kept)}
         weight = {i: 1.0 for i in self.kept}
         all_in: dict[int, float] = {}
         best: dict[int, tuple[float, str]] = {}
+        best_in_kept: dict[int, tuple[float, str]] = {}
         for i in reversed(self.kept):
             own = float(odds[place[i]]) * weight[i]
             below = self.children[i]
             whole = own + sum(all_in[c] for c in below)
             all_in[i] = whole
-            free = sum(best[c][0] for c in below) - split_cost if below else -np.inf
+            chosen = best_in_kept if own > 0 else best
+            price = 0.0 if self.tree.tag[i] in ("html", "body") else split_cost
+            free = max(own, 0.0) + sum(chosen[c][0] for c in below) - price if below else -np.inf
             best[i] = max((whole, "in"), (0.0, "out"), (free, "split"), key=lambda x: x[0])
+            best_in_kept[i] = max((whole, "in"), (-drop_cost, "out"), (free, "split"), key=lambda x: x[0])
         kept: set[int] = set()
-        todo = [(c, "split") for c in self.children[0]]
+        todo = [(c, best[c][1]) for c in self.children[0]]
         while todo:
-            i, forced = todo.pop()
-            choice = best[i][1] if forced == "split" else forced
-            if choice == "in" or (choice == "split" and odds[place[i]] > 0):
+            i, choice = todo.pop()
+            own = odds[place[i]] > 0
+            if choice == "in" or (choice == "split" and own):
                 kept.add(i)
+            chosen = best_in_kept if own else best
             if choice != "out":
-                todo.extend((c, choice) for c in self.children[i])
+                todo.extend((c, "in" if choice == "in" else chosen[c][1]) for c in self.children[i])
         return kept
 
 
-def main_texts(pages: list[str], forest: Forest, split_cost: float) -> list[str]:
+def main_texts(pages: list[str], forest: Forest, split_cost: float, drop_cost: float) -> list[str]:
     """The main text of each page."""
     parsed = [Nodes(Tree(html)) for html in pages]
     rows = [row for nodes in parsed for row in nodes.features()]
@@ -302,7 +322,7 @@ def main_texts(pages: list[str], forest: Forest, split_cost: float) -> list[str]
     out, at = [], 0
     for nodes in parsed:
         n = len(nodes.kept)
-        kept = nodes.decode(scores[at : at + n], split_cost)
+        kept = nodes.decode(scores[at : at + n], split_cost, drop_cost)
         at += n
         tree = nodes.tree
         out.append("\n\n".join(t for node, t in zip(tree.block_node, tree.texts) if node in kept and t))
@@ -362,13 +382,38 @@ def _other(rng: random.Random, kind: str, snippets: list[str], paragraphs: list[
     return _part(rng.choice(OTHER_PARTS[kind]), inner, "0")
 
 
+def _small(rng: random.Random, text: str) -> str:
+    """A short block that belongs to an article: a heading, a line, a list, a table, a caption."""
+    words = text.split() or ["more"]
+    some = lambda most: escape(" ".join(words[at : at + rng.randint(1, most)]) if (at := rng.randrange(len(words))) >= 0 else "")
+    kind = rng.choice(["h2", "h3", "p", "ul", "ol", "table", "dl", "figure", "blockquote"])
+    rows = range(rng.randint(2, 6))
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join(f"<li>{some(rng.choice([3, 12]))}</li>" for _ in rows) + f"</{kind}>"
+    if kind == "table":
+        cell = lambda tag: f"<{tag}>{some(3)}</{tag}>"
+        head = f"<tr>{cell('th')}{cell('th')}</tr>" if rng.random() < 0.5 else ""
+        return f"<table>{head}" + "".join(f"<tr>{cell('td')}{cell('td')}</tr>" for _ in rows) + "</table>"
+    if kind == "dl":
+        return "<dl>" + "".join(f"<dt>{some(2)}</dt><dd>{some(8)}</dd>" for _ in rows) + "</dl>"
+    if kind == "figure":
+        return f"<figure><img src='x.png'><figcaption>{some(6)}</figcaption></figure>"
+    return f"<{kind}>{some(rng.choice([1, 3, 8]))}</{kind}>"
+
+
 def layout(rng: random.Random, title: str, paragraphs: list[str], snippets: list[str], strangers: list[str]) -> str:
     """One marked training page: an article's blocks set in a random layout."""
-    blocks = [f"<h1>{escape(title)}</h1>"] if rng.random() < 0.8 else []
+    title = " ".join(title.split()[: rng.choice([1, 2, 99])]) or "A title"
+    rich, terse = rng.random() < 0.5, rng.random() < 0.3
+    blocks = [f"<h1>{escape(title)}</h1>"] if rng.random() < (0.5 if terse else 0.8) else []
+    if terse:  # an article of a few lines
+        paragraphs = [" ".join(text.split()[: rng.randint(2, 9)]) or "Some words." for text in paragraphs[: rng.randint(1, 3)]]
     for text in paragraphs:
+        if rich and rng.random() < 0.4:
+            blocks.append(_small(rng, text))
         kind = rng.choice(TEXT_PARTS) if rng.random() < 0.4 else "p"
         blocks.append(f"<p>{escape(text)}<br>" if kind == "br" else _part(kind, escape(text)))
-        if rng.random() < 0.12:
+        if rng.random() < (0.0 if terse else 0.12):
             blocks.append(_other(rng, rng.choice(["advert", "notice", "share", "sidebar"]), snippets, strangers))
     if rng.random() < 0.25:
         blocks.append(_other(rng, rng.choice(["comments", "share", "form"]), snippets, strangers))
@@ -393,7 +438,7 @@ def fit_extractor(pages: DataFrame, limit: int = 300, layouts: int = 1000, html:
     a hash of id and page, teach what stands in an article or main element.
     Their words also fill `layouts` more training pages: blocks of articles are
     set as such in random layouts, the others as menus, notices, comments and so
-    on.  With the defaults the driver holds 15 MB at
+    on.  With the defaults the driver holds 30 MB at
     most.  Without pages a few stock words stand in, so a forest always results.
     """
     rows = (
@@ -434,14 +479,21 @@ def fit_extractor(pages: DataFrame, limit: int = 300, layouts: int = 1000, html:
 
 
 def extract_main_text(
-    pages: DataFrame, forest: Forest, html: str = "html", id: str = "page_id", url: str = "url", split_cost: float = 3.0
+    pages: DataFrame,
+    forest: Forest,
+    html: str = "html",
+    id: str = "page_id",
+    url: str = "url",
+    split_cost: float = 3.0,
+    drop_cost: float = 4.0,
 ) -> DataFrame:
     """The id, url and `text`, the main text, of each row of `pages`.
 
     Blocks are joined by an empty line; white space inside a block is one
     space.  Null and empty pages, and pages without an article, give the empty
-    text; ids and urls may be null or repeated; other columns are not looked at;
-    an empty table gives an empty result.
+    text; elements may be left open, and a head ends where its elements do; ids
+    and urls may be null or repeated, equal pages get equal texts; other columns
+    are not looked at; an empty table gives an empty result.
     """
     ids = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
@@ -449,7 +501,7 @@ def extract_main_text(
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = main_texts(batch.column("html").to_pylist(), forest, split_cost)
+                texts = main_texts(batch.column("html").to_pylist(), forest, split_cost, drop_cost)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"]
                 )
