@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import rows_of
+from statewalk.llm import runlength
 from statewalk.llm.catalog import QUERIES
 from statewalk.llm.oracle import ORACLE
 
@@ -35,6 +36,16 @@ def test_repeats_query(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+@pytest.mark.parametrize("hot", [2048, 6])
+def test_repeats_of_a_larger_table(spark, monkeypatch, hot):
+    """Every row of the next size, ordinary anchors and, at a bound of 6, many hot ones."""
+    monkeypatch.setattr(runlength, "HOT_STRETCHES", hot)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute.without_repeats({r["doc_id"]: r["text"] for r in docs.collect()}, 400)
+    got = runlength.without_repeats(docs).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_simhash_query(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()
     want = brute.fingerprint_groups({r["doc_id"]: r["text"] for r in docs})
