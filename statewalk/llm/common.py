@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +38,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def running_starts(lengths: Column, block: int = 128) -> Column:
-    """For an array of lengths, the sum of all before each place.
+def running(values: Column, start: Column, combine: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """For an array of bigints, `start` and all values before each place, combined.
 
-    Two levels, blocks and places in a block, so that an array of n entries
-    costs n * block steps and not n * n.
+    `start` must change nothing when combined.  Two levels, blocks and places in
+    a block, so that an array of n entries costs n * block steps and not n * n.
     """
 
     def walk(values: Column, start: Column) -> Column:
@@ -48,21 +50,31 @@ def running_starts(lengths: Column, block: int = 128) -> Column:
             F.aggregate(
                 values,
                 F.array(start.cast("bigint")),
-                lambda out, x: F.array_append(out, F.element_at(out, -1) + x.cast("bigint")),
+                lambda out, x: F.array_append(out, combine(F.element_at(out, -1), x.cast("bigint"))),
             ),
             1,
             F.size(values),
         )
 
-    n_blocks = F.ceil(F.size(lengths) / F.lit(block)).cast("int")
+    n_blocks = F.ceil(F.size(values) / F.lit(block)).cast("int")
     blocks = F.when(
-        F.size(lengths) > 0,
+        F.size(values) > 0,
         F.transform(
-            F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * block + 1, block)
+            F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(values, b * block + 1, block)
         ),
     ).otherwise(F.array().cast("array<array<bigint>>"))
-    sums = F.transform(
-        blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint"))
+    whole_blocks = F.transform(
+        blocks, lambda xs: F.aggregate(xs, start.cast("bigint"), lambda s, x: combine(s, x.cast("bigint")))
     )
-    starts = walk(sums, F.lit(0))
+    starts = walk(whole_blocks, start)
     return F.flatten(F.transform(blocks, lambda xs, i: walk(xs, F.get(starts, i))))
+
+
+def running_starts(lengths: Column) -> Column:
+    """For an array of lengths, the sum of all before each place."""
+    return running(lengths, F.lit(0), lambda a, b: a + b)
+
+
+def running_greatest(values: Column) -> Column:
+    """For an array of numbers from 0, the greatest of all before each place, -1 at the first."""
+    return running(values, F.lit(-1), F.greatest)

@@ -1,9 +1,10 @@
 """Secret scans through a trigram index over the texts.
 
 Every rule's pattern is turned into a Boolean query over trigrams that each of
-its matches must contain.  The index holds postings (trigram, document) for the
-trigrams that some query names, the queries are answered by intersecting
-postings, and only candidates are searched with the pattern.  A rule whose
+its matches must contain.  The index holds a posting list (trigram, document) for
+each trigram that some query names, or for all, and is written once; the queries
+are answered by intersecting lists from the rarest on, and only candidates are
+searched with the pattern.  A rule whose
 matches share no trigram is searched in every text.
 """
 
@@ -18,7 +19,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewalk.llm.common import fresh, row_key, running_starts, whole
+from statewalk.llm.common import fresh, row_key, running_greatest, running_starts, whole
+from statewalk.operators.joins import lookup_join
 from statewalk.sources.store import cut
 
 
@@ -59,6 +61,8 @@ MORE_RULES = [
 RULES = BASE_RULES + MORE_RULES
 
 MAX_STRINGS = 64
+#: Pieces of a text that are cut out of it together.
+PIECES = 128
 
 
 # --- Boolean trigram queries ------------------------------------------------
@@ -155,20 +159,70 @@ def answers(query, has) -> Column:
     )
 
 
-def postings(docs: DataFrame, key: Column, text: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, key), for the trigrams asked for."""
+def trigrams_of(queries: dict[str, list]) -> list[str]:
+    """All trigrams that the queries name."""
+    return sorted({t for q in queries.values() for clause in q for s in clause for t in s})
+
+
+def postings(docs: DataFrame, key: Column, text: str, trigrams: list[str] | None = None) -> DataFrame:
+    """The inverted index: (trigram, key), one row per trigram that a lower-cased text holds.
+
+    Only for the trigrams asked for, or for all there are.  Rows are sorted by
+    trigram in each task, so in a written index each file holds every posting
+    list in one piece, and a reader that names trigrams skips the others.
+    """
     lowered = docs.select(key.alias("key"), F.lower(whole(text)).alias("text"))
-    names = F.array(*[F.lit(t) for t in trigrams])
-    return lowered.select("key", F.explode(F.filter(names, lambda t: F.contains(F.col("text"), t))).alias("trigram"))
+    if trigrams is None:
+        split = lowered.select("key", F.split("text", "").alias("chars"))
+        last = F.size("chars") - 3
+        every = F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(*[F.get("chars", i + j) for j in range(3)]))
+        held = split.select("key", F.explode_outer(F.when(last >= 0, F.array_distinct(every))).alias("trigram"))
+        held = held.where("trigram is not null")
+    else:
+        names = F.array(*[F.lit(t) for t in trigrams])
+        held = lowered.select("key", F.explode(F.filter(names, lambda t: F.contains(F.col("text"), t))).alias("trigram"))
+    return held.select("trigram", "key").sortWithinPartitions("trigram")
+
+
+def write_postings(
+    docs: DataFrame,
+    location: str,
+    rules: list[Rule] | None = None,
+    id: str = "doc_id",
+    text: str = "text",
+) -> None:
+    """Keep the index of `docs` at `location`, for any scans of the same rows later.
+
+    With `rules` it holds the trigrams of their queries and serves those rules
+    only; without, it holds every trigram and serves all.  Null texts have no
+    trigrams; equal rows share their postings; an empty table gives an empty index.
+    """
+    named = None if rules is None else trigrams_of({r.kind: trigram_query(r.pattern) for r in rules})
+    postings(docs, row_key(id, text), text, named).write.parquet(location)
+
+
+def rarest(query: list, sizes: dict[str, int]) -> set[str]:
+    """The shortest posting lists that together hold every document that answers `query`.
+
+    One list, the shortest, of each set of the clause for which these are fewest rows.
+    """
+    starts = [{min(sorted(s), key=lambda t: sizes.get(t, 0)) for s in clause} for clause in query]
+    return min(starts, key=lambda ts: sum(sizes.get(t, 0) for t in ts))
 
 
 def candidates(index: DataFrame, queries: dict[str, list]) -> DataFrame:
     """(key, kinds): documents whose postings answer the query of some kind.
 
-    The postings of a document are joined to a set before the shuffle; it holds
-    no more than the trigrams of the queries.
+    The intersection begins with the rarest lists; of the longer ones only the
+    postings of documents in those move on.  The postings of a document are
+    joined to a set before the shuffle; it holds no more than the trigrams of the
+    queries.  The driver learns the lengths of the lists that the queries name.
     """
-    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
+    lists = index.where(F.col("trigram").isin(trigrams_of(queries)))
+    sizes = {r["trigram"]: r["n"] for r in lists.groupBy("trigram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = sorted(set().union(*[rarest(q, sizes) for q in queries.values()]))
+    begun = cut(lists.where(F.col("trigram").isin(first)).select("key").distinct())
+    held = lookup_join(lists, begun, "key").groupBy("key").agg(F.collect_set("trigram").alias("held"))
     kinds = [
         F.when(answers(q, lambda t: F.array_contains("held", t)), F.lit(kind)) for kind, q in queries.items()
     ]
@@ -209,23 +263,29 @@ SPANS = "array<struct<start:bigint,order:int,kind:string,end:bigint>>"
 
 
 def scan_secrets(
-    docs: DataFrame, rules: list[Rule] | None = None, id: str = "doc_id", text: str = "text", name: str = "spans"
+    docs: DataFrame,
+    rules: list[Rule] | None = None,
+    id: str = "doc_id",
+    text: str = "text",
+    name: str = "spans",
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """All columns of `docs` and `spans`, or as `name` says: array of (start, order, kind, end).
 
     Spans are places in code points from 0, end exclusive, sorted by start and
     then by the order of the rules.  Null and empty texts have none; equal rows
     get equal spans; null ids do no harm; an empty table gives an empty result.
-    A column of `docs` of that name is replaced.
+    A column of `docs` of that name is replaced.  `index` is one that
+    `write_postings` kept of the same rows; else one is written for this scan.
     """
     rules = RULES if rules is None else rules
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    trigrams = sorted({t for q in queries.values() for clause in q for s in clause for t in s})
     kept = [c for c in docs.columns if c.lower() != name.lower()]
     rows = docs.select(F.struct(*kept).alias("row"), whole(text).alias("text"), row_key(id, text).alias("key"))
     if queries:
-        index = postings(docs, row_key(id, text), text, trigrams)
-        rows = rows.join(cut(candidates(index, queries)), "key", "left")
+        if index is None:
+            index = cut(postings(docs, row_key(id, text), text, trigrams_of(queries)))
+        rows = lookup_join(rows, cut(candidates(index, queries)), "key", "left")
     none = F.array().cast(SPANS)
     found = []
     for order, rule in enumerate(rules):
@@ -256,30 +316,43 @@ def redact_secrets(
     named `spans` too; repeated rows are treated alike; an empty table gives an
     empty result.
     """
-    columns, name = docs.columns, fresh(docs, "spans")
+    columns, name, before = docs.columns, fresh(docs, "spans"), fresh(docs, "pieces")
     scanned = scan_secrets(docs, id=id, text=text, name=name, **options)
-    merged = F.aggregate(
-        F.transform(F.col(name), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))),
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["start"] <= F.element_at(out, -1)["end"]),
-            F.array_append(
-                F.slice(out, 1, F.size(out) - 1),
-                F.struct(
-                    F.element_at(out, -1)["start"].alias("start"),
-                    F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"),
+    # a piece of text lies before each span that begins behind all earlier ones, and one at the end
+    ends = F.transform(name, lambda s: s["end"])
+    spans = scanned.withColumn(before, running_greatest(ends))
+    opens = F.filter(
+        F.zip_with(
+            name,
+            before,
+            lambda s, b: F.struct(F.greatest(b, F.lit(0)).alias("begin"), s["start"].alias("end"), (s["start"] > b).alias("opens")),
+        ),
+        lambda p: p["opens"],
+    )
+    spans = spans.withColumn(before, opens)
+
+    def part(whole_text: Column, begin: Column, end: Column) -> Column:
+        return F.substring(whole_text, (begin + 1).cast("int"), (end - begin).cast("int"))
+
+    # a block of pieces is cut out of the text first, since `substring` walks there from the front
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(before) - 1) / PIECES).cast("int")),
+        lambda b: F.slice(before, b * PIECES + 1, PIECES),
+    )
+    pieces = F.flatten(
+        F.transform(
+            F.transform(
+                blocks,
+                lambda ps: F.struct(
+                    ps.alias("ps"), part(F.col(text), F.get(ps, 0)["begin"], F.element_at(ps, -1)["end"]).alias("text")
                 ),
             ),
-        ).otherwise(F.array_append(out, s)),
-    )
-    edges = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(merged, lambda s: s["end"]))
-    pieces = F.transform(
-        edges,
-        lambda begin, i: F.substring(
-            F.col(text),
-            (begin + 1).cast("int"),
-            (F.coalesce(F.get(merged, i)["start"], F.length(text).cast("bigint")) - begin).cast("int"),
-        ),
+            lambda b: F.transform(
+                b["ps"], lambda p: part(b["text"], p["begin"] - F.get(b["ps"], 0)["begin"], p["end"] - F.get(b["ps"], 0)["begin"])
+            ),
+        )
     )
+    length = F.length(text).cast("bigint")
+    pieces = F.concat(pieces, F.array(part(F.col(text), F.array_max(ends), length)))
     clean = F.when(F.size(name) > 0, F.array_join(pieces, mark)).otherwise(F.col(text))
-    return scanned.select(*[clean.alias(c) if c == text else F.col(c) for c in columns])
+    return spans.select(*[clean.alias(c) if c == text else F.col(c) for c in columns])

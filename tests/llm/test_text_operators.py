@@ -10,8 +10,9 @@ from statewalk.llm.decontam import contamination, without_contaminated
 from statewalk.llm.mixing import mix_sources, mixed_documents
 from statewalk.llm.quality import classify_quality, fit_quality
 from statewalk.llm.runlength import RunLengthIndex, without_repeats
-from statewalk.llm.secrets import redact_secrets, scan_secrets
+from statewalk.llm.secrets import RULES, Rule, candidates, redact_secrets, scan_secrets, trigram_query, write_postings
 from statewalk.llm.simhash import first_of_groups, simhash_groups
+from statewalk.sources.store import scratch_path
 
 VOCABULARY = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi rho sigma tau".split()
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(30_000))
@@ -97,6 +98,62 @@ def test_secrets(docs, nulls, texts):
             assert "hunter2" not in left[i]["text"] and "AKIA" not in left[i]["text"]
 
 
+def redacted(text, spans, mark="[SECRET]"):
+    """One mark for each run of spans that overlap or touch."""
+    out, at = "", None
+    for start, end in sorted(spans):
+        if at is None or start > at:
+            out += text[at or 0 : start] + mark
+        at = max(end, at or 0)
+    return out + text[at or 0 :]
+
+
+def test_redaction(spark, docs, texts):
+    """Texts with very many, touching, nested and equal spans."""
+    rules = [Rule("ab", "abcd+"), Rule("hex", "[0-9a-f]{4,}"), Rule("x", "x"), Rule("xy", "xy*"), Rule("none", "never seen")]
+    rng = random.Random(9)
+    odd = ["", "x", "xx", "abcdabcd", "no span", "漢x字 x🙂", "abcdddd-abcd0123x" * 3, None]
+    odd += ["".join(rng.choice(["x", "xyy", "abcd", " - ", "🙂", "ffff", "q"]) for _ in range(n)) for n in (5, 300, 3000)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").withColumn("pieces", F.lit(1))
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in scan_secrets(rows, rules).collect()}
+    got = by_id(redact_secrets(rows, rules=rules))
+    assert max(map(len, spans.values())) > 1500
+    for i, text in enumerate(odd):
+        assert got[i]["text"] == (None if text is None else redacted(text, spans[i])) and got[i]["pieces"] == 1
+    spans = by_id(scan_secrets(docs))
+    got = by_id(redact_secrets(docs))
+    for i, text in texts.items():
+        assert (got[i]["text"] or "") == redacted(text or "", [(s["start"], s["end"]) for s in spans[i]["spans"]])
+
+
+def test_kept_postings(spark, docs, texts):
+    """An index is written once and serves other rules; its answers are those of a look into every text."""
+    more = RULES + [Rule("word", "(?i)licen[cs]e[a-z]*"), Rule("absent", "zzqzzq[0-9]")]
+    want = by_id(scan_secrets(docs, more))
+    every, some = scratch_path(spark, "postings"), scratch_path(spark, "postings")
+    write_postings(docs, every)
+    write_postings(docs, some, rules=more)
+    assert spark.read.parquet(some).count() < spark.read.parquet(every).count()
+    for place in (every, some):
+        assert by_id(scan_secrets(docs, more, index=spark.read.parquet(place))) == want
+    lowered = {i: (t or "").lower() for i, t in texts.items()}
+    held = spark.read.parquet(every).groupBy("trigram").agg(F.countDistinct("key").alias("n")).collect()
+    seen = {}
+    for t in set(lowered.values()):
+        for g in {t[i : i + 3] for i in range(len(t) - 2)}:
+            seen[g] = seen.get(g, 0) + 1
+    assert {r["trigram"] for r in held} == set(seen)
+    queries = {r.kind: q for r in more if (q := trigram_query(r.pattern))}
+    found = candidates(spark.read.parquet(every), queries).collect()
+    fits = [
+        [k for k, q in queries.items() if all(any(all(g in t for g in s) for s in clause) for clause in q)]
+        for t in lowered.values()
+    ]
+    assert sorted({tuple(r["kinds"]) for r in found}) == sorted({tuple(f) for f in fits if f})
+    plan = spark.read.parquet(some).where(F.col("trigram").isin("tok", "oke"))._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(trigram" in plan
+
+
 def test_mixing(docs, nulls):
     first, again = by_id(mix_sources(docs)), by_id(mix_sources(docs.repartition(3)))
     assert first == again
