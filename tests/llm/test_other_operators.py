@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from statewalk.llm import embeddings
 from statewalk.llm.chat import format_chats, loss_text, parse
 from statewalk.llm.embeddings import embedding_groups
 from statewalk.llm.html_text import extract_main_text, fit_extractor
@@ -38,6 +39,29 @@ def test_embeddings(spark, tile_rows):
     assert embedding_groups(df.limit(0)).count() == 0
 
 
+def test_tiles_meet_each_near_pair_once(spark):
+    """Cells cut at several depths, one dense beyond all axes: near pairs share one tile, and tiles stay small."""
+    rng = np.random.default_rng(7)
+    rows = np.concatenate([rng.normal(size=(300, 6)), np.array([1.0, 2, 3, 4, 5, 6]) + rng.normal(scale=0.01, size=(90, 6))])
+    unit = embeddings.unit_rows(rows)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "rid bigint, vector array<double>")
+    visits = embeddings.visits_of_cells(embeddings.leading(df, {}), 0.95, 16)
+    assert visits.where("own").count() == len(rows) and visits.where("own").select(F.size("code")).distinct().count() > 2
+    tiles = {}
+    for r in embeddings.dealt_tiles(visits, 16).collect():
+        tiles.setdefault((tuple(r["tile"]["code"]), r["tile"]["part"], r["tile"]["slice"]), []).append((r["rid"], r["side"]))
+    met = {}
+    for held in tiles.values():
+        for i, (a, s) in enumerate(held):
+            for b, t in held[i + 1 :]:
+                if (s == 1) != (t == 1) or s == t == 2:
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    near = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.95, 1)))}
+    assert len(near) > 4000 and near <= set(met) and set(met.values()) == {1}
+    assert len(met) < len(rows) * (len(rows) - 1) / 2
+    assert max(len(held) for held in tiles.values()) <= 2 * (1 + embeddings.SLICE_TILES) * 16
+
+
 HARD = ["", None, "<|im_end|>", "<|im_start|>assistant ok", "a\nb<|nl|>", "\\<|im_end|>\\\\", "<|", "|>", "漢字 🙂", "x" * 50_000]
 
 
