@@ -8,10 +8,10 @@ from plain import bfs
 from pyspark.sql import functions as F
 
 import statewalk.operators.search as search
-from statewalk.operators.joins import lookup_join
+from statewalk.operators.joins import keys_over, lookup_join
 from statewalk.operators.numbering import numbered
 from statewalk.operators.search import Adjacency, Forest, Visited, bfs_paths, dedupe_new
-from statewalk.sources.store import cut, scratch_path, scratch_scope, shared_folder
+from statewalk.sources.store import cut, scratch_path, scratch_scope, shared_folder, write_bucketed as search_write
 
 
 def plan(df):
@@ -142,3 +142,40 @@ def test_rows_without_a_key_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("names", [["", "o1", "o10", "o9", "o100", "p0", "c", "0", "00"], ["", "-", "a b", "A", "Z~", "~", "a", "aA"]])
+def test_packed_names_keep_their_order(spark, names):
+    df = spark.createDataFrame([(n,) for n in names], "node string")
+    code = search.name_code(df.select(F.col("node").alias("src"), F.col("node").alias("dst")), df.limit(0))
+    packed = df.select("node", code.pack("node").alias("n")).select("node", "n", code.text("n").alias("back")).collect()
+    assert [r["node"] for r in sorted(packed, key=lambda r: r["n"])] == sorted(names)
+    assert all(r["back"] == r["node"] for r in packed)
+
+
+@pytest.mark.parametrize("odd", ["été", "x" * 40, "nul\0", "".join(map(chr, range(48, 90)))])
+def test_names_that_do_not_pack_are_numbered(spark, odd):
+    edges = [("n0", "n1"), ("n1", odd), ("n1", "n2"), ("n2", odd), (odd, "n4"), ("n0", "n1")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    seeds = spark.createDataFrame([("n0",)], "node string")
+    assert search.name_code(df, seeds) is None
+    assert as_dict(bfs_paths(df, seeds, directed=True)) == bfs(edges, ["n0"], 20, True)
+
+
+def test_short_names_are_not_joined_and_edges_move_once(spark, monkeypatch):
+    monkeypatch.setattr(search, "node_numbers", lambda *_: pytest.fail("short names were numbered"))
+    written = []
+    monkeypatch.setattr(search, "write_bucketed", lambda df, *a: written.append((df, a)) or search_write(df, *a))
+    edges = [(f"o{i % 50}", f"p{i % 7}") for i in range(500)]  # every edge ten times or so
+    found = bfs_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("p0",)], "node string"))
+    assert as_dict(found) == bfs(edges, ["p0"], 20, False)
+    ((rows, args),) = written
+    assert "Exchange" not in plan(rows) and args[-1]
+
+
+def test_keys_are_counted_in_classes_that_can_hold_them(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    rows = rows.unionByName(spark.range(60).select(F.lit(None).cast("bigint").alias("k")))
+    found = keys_over(rows, ["k"], lambda n: n > 50)
+    assert {r["k"]: r["n_rows"] for r in found.collect()} == {7: 2501, None: 60}
+    assert keys_over(rows, ["k"], lambda n: n > 5000).count() == 0
