@@ -17,6 +17,8 @@ from statewalk.sources.store import cut
 
 # fixed value: words are runs of 0-9, a-z and everything beyond ASCII
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# the same runs in a text that still has its capitals
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOTHING = "array<bigint>"
 
 
@@ -24,6 +26,11 @@ def words_of(text: str) -> Column:
     return F.regexp_extract_all(lower_ascii(whole(text)), F.lit(WORDS), F.lit(0))
 
 
+def word_count(text: str) -> Column:
+    """The number of `words_of`, for which no letter has to be replaced."""
+    return F.size(F.regexp_extract_all(whole(text), F.lit(ANY_CASE), F.lit(0))).cast("bigint")
+
+
 def run_of(array: str, at: Column, n: int) -> list[Column]:
     """`n` successive entries; `slice` within a lambda would copy the whole array each time."""
     return [F.get(array, at + j) for j in range(n)]
@@ -169,7 +176,7 @@ def contamination(
     rows = docs.select(
         F.col(id).alias("id"),
         row_key(id, text).alias("key"),
-        F.size(words_of(text)).cast("bigint").alias("n_words"),
+        word_count(text).alias("n_words"),
     )
     none = F.array().cast("array<string>")
     return lookup_join(rows, per_key, "key", "left").select(

@@ -266,3 +266,12 @@ def test_quality(spark, docs, nulls):
     assert classify_quality(docs.limit(0), forest).count() == 0
     blank = fit_quality(table, labels.limit(0))
     assert len({r["score"] for r in classify_quality(docs, blank).select("score").collect()}) == 1
+
+
+def test_words_are_counted_without_replacing_letters(spark):
+    from statewalk.llm.decontam import word_count, words_of
+
+    texts = [None, "", "Ab cD-eF", "@A[Z`a{z}", "ÉTÉ été\x00x 9:9/ İı", "A", "-", "x\nY\tZ_1"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(word_count("text").alias("n"), F.size(words_of("text")).alias("m"))
+    assert "translate" not in df.select("n")._jdf.queryExecution().executedPlan().toString()
+    assert all(r["n"] == r["m"] for r in df.collect())
