@@ -179,3 +179,38 @@ def test_keys_are_counted_in_classes_that_can_hold_them(spark):
     found = keys_over(rows, ["k"], lambda n: n > 50)
     assert {r["k"]: r["n_rows"] for r in found.collect()} == {7: 2501, None: 60}
     assert keys_over(rows, ["k"], lambda n: n > 5000).count() == 0
+
+
+def test_letters_with_numbers_are_packed_without_a_pass_over_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(search, "name_code", lambda *_: pytest.fail("characters were counted"))
+    rng = random.Random(5)
+    edges = [(f"o{rng.randrange(120)}", f"p{rng.randrange(30)}") for _ in range(200)] + [("p9", "c999999999999999"), ("p3", "o0"), (None, "p1")]
+    found = bfs_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("p3",), ("p9",)], "node string"))
+    assert as_dict(found) == bfs([e for e in edges if None not in e], ["p3", "p9"], 20, False)
+
+
+def test_numbers_behind_a_letter_keep_their_order(spark):
+    names = ["o0", "o1", "o10", "o100", "o11", "o9", "o99", "p0", "p5", "a7", "~123456", "07", "\x017", "p100000"]
+    df = spark.createDataFrame([(n,) for n in names], "node string")
+    code, pairs, _ = search.key_coded(df.select(F.col("node").alias("src"), F.col("node").alias("dst")), df.limit(0))
+    assert code.digits == 6
+    packed = pairs.select("src", code.text("src").alias("back")).collect()
+    assert [r["back"] for r in sorted(packed, key=lambda r: r["src"])] == sorted(names)
+    assert len({r["src"] for r in packed}) == len(names)
+
+
+@pytest.mark.parametrize("odd", ["o01", "o", "", "o 1", "o1 ", "o+1", "o-1", "o1.0", "o1e2", "é1", "oo1", "o1234567890123456", "o" + "9" * 40])
+def test_other_names_are_not_taken_for_letters_with_numbers(spark, odd):
+    edges = [("o1", "o2"), ("o2", odd), (odd, "o3"), ("o1", "o11")]
+    df, seeds = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([("o1",)], "node string")
+    assert search.key_coded(df, seeds) is None
+    many = spark.range(3000).select(F.concat(F.lit("o"), F.col("id")).alias("src"), F.lit("p1").alias("dst")).coalesce(1)
+    assert search.key_coded(many.unionByName(df), seeds) is None  # behind the rows looked at first
+    assert as_dict(bfs_paths(df, seeds)) == bfs(edges, ["o1"], 20, False)
+
+
+def test_a_filter_of_edges_names_few_spans():
+    spans = [(i * 100, i * 100 + 50 + i) for i in range(40)]
+    few = search.joined_spans(spans[::-1], 6)
+    assert few == [(0, 50), (100, 151), (200, 252), (300, 353), (400, 454), (500, 3989)]
+    assert search.joined_spans(spans[:3], 6) == spans[:3] and search.joined_spans([], 6) == []
