@@ -34,7 +34,9 @@ SHARD_BYTES = 16 << 20
 #: Runs that one merge takes; more are merged in several rounds.
 FAN_IN = 512
 #: Bytes of a text that are cut into terms at once.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
+#: Rows that a task takes out of a batch at once.
+SLICE_ROWS = 500
 #: Kept terms whose corrections one task sums, and sources on each side of its sums.
 CHUNK_TERMS, SOURCE_BLOCK = 10_000, 512
 SCALE = 1_000_000_000
@@ -80,7 +82,7 @@ def cut_texts(texts: list[bytes], piece: int = PIECE_BYTES) -> tuple[pa.ChunkedA
         starts = np.cumsum([0, *map(len, held[:-1])]) if held else np.zeros(0, dtype=np.int64)
         found, owner = cut_terms(np.frombuffer(b"".join(held), dtype=np.uint8), starts)
         terms.append(found)
-        owners.append(np.array(ids, dtype=np.int64)[owner])
+        owners.append(np.array(ids, dtype=np.int32)[owner])
         held, ids, size = [], [], 0
 
     for i, text in enumerate(texts):
@@ -133,8 +135,10 @@ def spilled(texts: list[bytes], groups: list[tuple[str, str]], shards: int, run:
     cut_up, owner = cut_texts(texts)
     if not len(cut_up):
         return None
-    encoded = cut_up.combine_chunks().dictionary_encode()
-    terms, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+    encoded = cut_up.dictionary_encode().unify_dictionaries()
+    del cut_up
+    terms, codes = encoded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in encoded.chunks])
+    del encoded
     shard = term_shards(terms, shards)
     ranks = np.empty(len(terms), dtype=np.int64)
     ranks[pc.array_sort_indices(terms).to_numpy()] = np.arange(len(terms))
@@ -142,20 +146,31 @@ def spilled(texts: list[bytes], groups: list[tuple[str, str]], shards: int, run:
     place = np.empty(len(terms), dtype=np.int64)
     place[order] = np.arange(len(terms))
 
-    # how often each document has each term, then each group
-    pairs = owner * len(terms) + place[codes]
+    # how often each document has each term, then each group; what is done with goes, as there is one row per term of the block
+    pairs = owner.astype(np.int64)
+    pairs *= len(terms)
+    pairs += place[codes]
+    del owner, codes
     pairs.sort()
     first = runs_of(pairs)
     often = np.diff(np.append(first, len(pairs)))
-    doc, term = np.divmod(pairs[first], len(terms))
+    pairs = pairs[first]
+    doc = pairs // len(terms)
+    pairs -= doc * len(terms)
     langs = sorted({lang for lang, _ in groups})
     names = sorted({source for _, source in groups})
     lang_of = np.array([langs.index(lang) for lang, _ in groups])
     known = {name: i for i, name in enumerate(names)}
     source_of = np.array([known[source] for _, source in groups])
-    keys = (lang_of[doc] * len(terms) + term) * len(names) + source_of[doc]
+    keys = lang_of[doc]
+    keys *= len(terms)
+    keys += pairs
+    keys *= len(names)
+    keys += source_of[doc]
+    del pairs, doc, first
     by = np.argsort(keys, kind="stable")
     keys, often = keys[by], often[by]
+    del by
     first = runs_of(keys)
     n, docs = np.add.reduceat(often, first), np.diff(np.append(first, len(keys)))
     term_keys, source = np.divmod(keys[first], len(names))
@@ -183,15 +198,17 @@ def index_runs(docs: DataFrame, shards: int, block: int = BLOCK_BYTES) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, groups, size, number = [], [], 0, TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")]):
+        for part in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
+            for lang, source, text in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "text")]):
                 texts.append(text)
                 groups.append((lang, source))
                 size += len(text)
                 if size >= block:
-                    if (found := spilled(texts, groups, shards, number)) is not None:
-                        yield found
+                    found = spilled(texts, groups, shards, number)
                     texts, groups, size, number = [], [], 0, number + 1
+                    pa.default_memory_pool().release_unused()
+                    if found is not None:
+                        yield found
         if texts and (found := spilled(texts, groups, shards, number)) is not None:
             yield found
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statewalk.llm.catalog import QUERIES
-from statewalk.llm.divergence import cut_texts, source_divergence
+from statewalk.llm.divergence import cut_texts, source_divergence, spilled
 from statewalk.llm.hardneg import hard_negatives, spanning_tree
 from statewalk.llm.toxicity import classify_toxicity, estimate, fit_label_model, fit_toxicity, pieces
 
@@ -50,6 +51,18 @@ def divergence(rows, min_docs, top=10):
     return out
 
 
+def test_a_block_is_indexed_in_little_memory():
+    rng = random.Random(3)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(5000)]
+    texts = [" ".join(rng.choices(words, k=300)).encode() for _ in range(2000)]
+    tracemalloc.start()
+    try:
+        spilled(texts, [(f"l{i % 2}", f"s{i % 5}") for i in range(2000)], 4, 0)
+        assert tracemalloc.get_traced_memory()[1] < 20 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("block,fan_in", [(1 << 24, 512), (120, 2)])
 def test_divergence(spark, block, fan_in):
     rng = random.Random(8)
