@@ -64,6 +64,24 @@ def test_a_small_level_reads_few_edges(spark, monkeypatch):
     assert graph.neighbours(span).count() == 200
 
 
+def test_only_a_part_of_the_edges_is_sketched(spark):
+    pairs = cut(spark.range(64_000).select(F.col("id").alias("src"), (F.col("id") * 7 % 64_000 + 64_000).alias("dst")))
+    whole, part = search.measures(pairs.unionByName(pairs))
+    # all edges go through compiled aggregates only; quantiles and sketches see one in PART of them
+    assert "ObjectHashAggregate" not in plan(whole) and "ObjectHashAggregate" in plan(part)
+    assert plan(part).index("Filter", plan(part).rindex("ObjectHashAggregate")) > 0
+    assert tuple(whole.first()) == (128_000, 0, 127_999)
+    src, dst, n, distinct = part.first()
+    # equal pairs are in the part together
+    assert 1_600 <= n <= 2_400 and n % 2 == 0 and abs(distinct - n / 2) < n / 10
+    assert len(src) == len(dst) == search.RANGES - 1
+    assert all(abs(q - 2_000 * i) < 4_000 for i, q in enumerate(src, 1)) and all(abs(q - 64_000 - 2_000 * i) < 4_000 for i, q in enumerate(dst, 1))
+    graph = Adjacency(pairs.unionByName(pairs), directed=True)
+    assert graph.edges.count() == 64_000 and graph.bounds == sorted({*src, *dst})
+    empty = Adjacency(pairs.limit(0), directed=True)
+    assert (empty.low, empty.high, empty.bounds) == (0, 1, [])
+
+
 def test_levels_are_hash_aggregates_on_numbers(spark):
     edges = spark.createDataFrame([(f"n{i % 40}", f"n{i * 7 % 61}") for i in range(300)], "src string, dst string")
     pairs = cut(edges.distinct())
